@@ -214,3 +214,55 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
     keep = root != np.arange(len(nodes))
     return nodes[keep], nodes[root[keep]]
+
+
+def chunks(df: DataFrame, size: int, text: str, label: str) -> DataFrame:
+    """Rows in chunks of about `size` bytes of text, as a table bucketed by chunk in the
+    shared folder: chunk, n_rows, n_bytes, blob (an Arrow stream of the rows, compressed).
+
+    A written chunk never changes, so later passes may refer to its rows by place; joins
+    by chunk leave the table where it is and move only the other side.
+    """
+    spark = df.sparkSession
+    at = df.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = seq = 0
+
+        def row() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            return pa.RecordBatch.from_arrays([pa.array([task_id() << 32 | seq]), pa.array([whole.num_rows]), pa.array([n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_rows", "n_bytes", "blob"])
+
+        for b in batches:
+            sizes = np.array([0 if x is None else len(x) for x in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
+            lo = 0
+            for i, s in enumerate(sizes.tolist()):
+                n += s
+                if n >= size:
+                    held.append(b.slice(lo, i + 1 - lo))
+                    yield row()
+                    lo, held, n, seq = i + 1, [], 0, seq + 1
+            if lo < b.num_rows:
+                held.append(b.slice(lo))
+        if held:
+            yield row()
+
+    name = f"tidelog_{label}_{uuid.uuid4().hex}"
+    made = df.mapInArrow(cut, "chunk long, n_rows long, n_bytes long, blob binary")
+    made.write.bucketBy(shuffle_partitions(spark), "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def read_chunk(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
+
+
+def power_of_two(x: float, least: int, most: int) -> int:
+    n = least
+    while n < x and n < most:
+        n *= 2
+    return n

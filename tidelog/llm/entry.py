@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import shared_dir, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op2_packing import pack_sequences
+
+    return pack_sequences(table(spark, sf_dir, "documents"), capacity=1024, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op3_language import held_out, identify, train
 
@@ -25,6 +32,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op5_suffix_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op7_decontamination import contamination
 
@@ -32,6 +46,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op8_token_files import read_documents, write_token_files
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_documents(spark, path)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op9_sharding import byte_shards
 
@@ -40,7 +62,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_token_counts, op3_language, op7_decontamination, op9_sharding]
+    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op7_decontamination, op8_token_files, op9_sharding]
     return {f.__name__: f for f in made}
 
 
