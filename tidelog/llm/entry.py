@@ -61,8 +61,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op10_embedding_dedup import near_duplicates
+
+    got = near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op7_decontamination, op8_token_files, op9_sharding]
+    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup]
     return {f.__name__: f for f in made}
 
 
