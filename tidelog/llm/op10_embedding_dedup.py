@@ -78,6 +78,7 @@ class CoverTree:
             kids[node] = (first, len(centre))
             todo += [(i, r / 2) for i in range(first, len(centre))]
         self.centre, self.radius, self.kids = np.array(centre), np.array(radius), kids
+        self.size = np.array([len(m) for m in spans])
 
 
 def _cosines_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ def dual_pairs(p: CoverTree, q: CoverTree, raw_p: np.ndarray, raw_q: np.ndarray,
                 ok = (i <= j) | (a != b)
                 value, i, j = value[ok], i[ok], j[ok]
             # two leaves of one vector each are settled at once
-            one = (p.radius[i] == 0) & (q.radius[j] == 0)
+            one = (p.size[i] == 1) & (q.size[j] == 1)
             single.append((i[one], j[one]))
             todo += zip(i[~one].tolist(), j[~one].tolist(), strict=True)
         for i, j in single:
