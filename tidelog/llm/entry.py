@@ -39,6 +39,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op6_jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, shingle=4)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op7_decontamination import contamination
 
@@ -69,7 +75,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup]
+    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op6_jaccard_join, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup]
     return {f.__name__: f for f in made}
 
 
