@@ -55,7 +55,7 @@ def test_components(spark, table, monkeypatch):
     df = {"small": small, "odd": odd, "near": near_copies, "empty": empty}[table](spark)
     if table == "near":
         monkeypatch.setattr(op6, "BLOCK", 64)
-    got = op6.jaccard_components(df, chunk_bytes=300_000)
+    got = op6.jaccard_components(df, percent=85, shingle=4, chunk_bytes=300_000)
     assert sorted(map(tuple, got.collect()), key=str) == brute(texts(df))
 
 
@@ -64,7 +64,7 @@ def test_region_pairs():
     heads = rng.poisson(8, (30, 64))
     x = np.concatenate([rng.poisson(rng.choice([3, 8, 20]), 64)[None] for _ in range(400)] + [np.maximum(heads[rng.integers(0, 30, 600)] + rng.integers(-1, 2, (600, 64)) * (rng.random((600, 64)) < 0.2), 0)])
     size = x.sum(1)
-    i, j, d = op6.region_pairs(x.astype(np.uint8), size, leaf=50)
+    i, j, d = op6.region_pairs(x.astype(np.uint8), size, 85, leaf=50)
     l1 = np.abs(x[:, None, :].astype(np.int16) - x[None, :, :]).sum(2)
     a, b = np.nonzero(op6.allowed(size[:, None], size[None, :], l1, 85))
     assert {*zip(i.tolist(), j.tolist())} == {(p, q) for p, q in zip(a.tolist(), b.tolist()) if p < q}

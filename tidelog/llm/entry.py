@@ -48,7 +48,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op7_decontamination import contamination
 
-    got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    got = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -74,8 +74,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op6_jaccard_join, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup]
+    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op6_jaccard_join, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in made}
 
 

@@ -172,13 +172,14 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
-    `keep_text`, kept (the bytes left) added; columns of these names are replaced.
+    `keep_text`, kept (the bytes left) and kept_text (these as text, less the rests of
+    characters that were cut) added; columns of these names are replaced.
 
     Ids are integers; rows of one id are no copies of each other, and rows without an id
     keep their text and are no one's source.  Null texts are empty.  Repeated rows each
     give a row, and an empty table gives none.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     store = chunks(docs, chunk_bytes, text_col, "texts")
     total = store.agg(F.sum("n_bytes")).first()[0] or 0
     bits = power_of_two(total / BUCKET_BYTES, 2048, 1 << 20).bit_length() - 1
@@ -295,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _batch(chunk.tolist(), [-2] * len(chunk), [pack(at[i : i + 1], mask[i : i + 1].astype(np.uint32)) for i in range(len(chunk))])
 
     facts = learnt.where("bucket = -1").union(narrow).union(found.mapInArrow(wide_rows, part))
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "kept_text"] if keep_text else [])]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,10 +335,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     made["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     if keep_text:
                         made["kept"].append(kept)
-                kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+                        made["kept_text"].append(kept.decode("utf-8", "ignore"))
+                kinds = {"kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
                 whole = pa.RecordBatch.from_arrays([*(t.column(c).chunk(0) if t.num_rows else pa.array([], t.schema.field(c).type) for c in t.schema.names), *(pa.array(made[c], kinds.get(c, pa.int64())) for c in names)], names=[*t.schema.names, *names])
                 for i in range(0, whole.num_rows, 2000):
                     yield whole.slice(i, 2000)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if keep_text else [])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary, kept_text string"] if keep_text else [])])
     return with_answers(facts).select("chunk", "blob", "answers").mapInArrow(apply, schema)

@@ -34,9 +34,9 @@ from tidelog.llm.common import by_group, chunks, components, mix, pack, power_of
 from tidelog.llm.words import Words, grams, mask, portions
 
 IS_WORD = mask([(0x20, 0x20), (0x09, 0x0D)])
-SHINGLE, CLASSES = 4, 64
+SHINGLE, CLASSES = 5, 64
 #: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
+PERCENT = 80
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 512 << 10
 #: Largest region that is compared at once, pivots of a larger one, vectors of a cell's block.
 LEAF, PIVOTS, BLOCK = 256, 8, 512
@@ -183,9 +183,38 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     rows and equal texts link.  A null id is never the smallest.  Other columns are
     ignored; an empty table gives no rows.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _solve(rows, "doc_id", "text", percent, shingle, chunk_bytes)[1].select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """`docs` with one row of each component, that of the smallest id (ids that are null
+    last); rows with the empty set all stay."""
+    store, solved = _solve(docs, id_col, text_col, percent, shingle, chunk_bytes)
+    first = solved.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "chunk")).alias("least")).select("least.chunk", "least.uid")
+    kept = solved.where("label is null").select("chunk", "uid").union(first)
+    lists = kept.groupBy("chunk").agg(F.collect_list("uid").alias("uids"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, uids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = read_chunk(blob)
+                rows = np.flatnonzero(np.isin(t.column(UID).to_numpy(), np.array(uids, np.int64)))
+                for lo in range(0, len(rows), 2000):
+                    yield from t.drop_columns([UID]).take(pa.array(rows[lo : lo + 2000])).combine_chunks().to_batches()
+
+    return store.select("chunk", "blob").join(lists, "chunk").select("blob", "uids").mapInArrow(read, docs.schema)
+
+
+#: The row number that a chunk store adds; the name is kept for it.
+UID = "_tidelog_uid"
+
+
+def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The chunk store of `docs` with a row number, and for each row chunk, uid, doc_id,
+    n_shingles, label (of its component; null for the empty set) and component_id."""
     kind = docs.schema[id_col].dataType.simpleString()
-    only = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    store = chunks(only, chunk_bytes, "text", "sets")
+    store = chunks(docs.withColumn(UID, F.monotonically_increasing_id()), chunk_bytes, text_col, "sets")
     total = store.agg(F.sum("n_bytes")).first()[0] or 0
     bits = power_of_two(total / BUCKET_BYTES, 2048, 1 << 20).bit_length() - 1
     blobs = "chunk long, bucket int, blob binary"
@@ -196,10 +225,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = read_chunk(blob)
-                sets = shingle_sets(_texts(t, "text"), shingle)
-                uid = t.column("uid").to_numpy()
+                sets = shingle_sets(_texts(t, text_col), shingle)
+                uid = t.column(UID).to_numpy()
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                listed = pa.RecordBatch.from_arrays([t.column("uid").chunk(0), t.column("doc_id").chunk(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["uid", "doc_id", "n_shingles", "digest"])
+                listed = pa.RecordBatch.from_arrays([t.column(UID).chunk(0), t.column(id_col).chunk(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["uid", "doc_id", "n_shingles", "digest"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, listed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(listed)
@@ -254,10 +283,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                yield from pa.ipc.open_stream(pa.py_buffer(blob))
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x in pa.ipc.open_stream(pa.py_buffer(blob)):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * x.num_rows, pa.int64()), *x.columns], names=["chunk", *x.schema.names])
 
-    listed = known.where("key is null").select("blob").mapInArrow(members, f"uid long, doc_id {kind}, n_shingles long, digest binary")
+    listed = known.where("key is null").select("chunk", "blob").mapInArrow(members, f"chunk long, uid long, doc_id {kind}, n_shingles long, digest binary")
     held = known.where("key is not null").select("chunk", "key", "uid", "size", "rank")
 
     def fetch(wanted: DataFrame, out: str, make) -> DataFrame:
@@ -267,8 +297,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
             for b in batches:
                 for blob, uids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     t = read_chunk(blob)
-                    rows = np.flatnonzero(np.isin(t.column("uid").to_numpy(), np.array(uids, np.int64)))
-                    yield make(t.column("uid").to_numpy()[rows], shingle_sets(_texts(t, "text", rows), shingle))
+                    rows = np.flatnonzero(np.isin(t.column(UID).to_numpy(), np.array(uids, np.int64)))
+                    yield make(t.column(UID).to_numpy()[rows], shingle_sets(_texts(t, text_col, rows), shingle))
 
         lists = wanted.distinct().groupBy("chunk").agg(F.collect_list("uid").alias("uids"))
         return store.select("chunk", "blob").join(lists, "chunk").select("blob", "uids").mapInArrow(read, out)
@@ -346,6 +376,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     classes = listed.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
     named = save(classes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named").df
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    per_class = named.join(heads, "label").select("digest", "component_id")
-    out = listed.join(per_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    per_class = named.join(heads, "label").select("digest", "label", "component_id")
+    return store, listed.join(per_class, "digest", "left").select("chunk", "uid", "doc_id", "n_shingles", "label", "component_id")

@@ -114,16 +114,20 @@ def match(texts: list[bytes], index: Index) -> list[tuple[int, int, list[str]]]:
     return [(int(w.per_doc[d]), int(n_hit[d]), sorted(found[d])) for d in range(len(texts))]
 
 
-def _rows(ids: pa.Array, got: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+FOUND = ["n_words", "n_hit", "items"]
+
+
+def _rows(own: list[pa.Array], names: list[str], got: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.string()))],
-        names=["doc_id", "n_words", "n_hit", "items"],
+        [*own, pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.string()))],
+        names=[*names, *FOUND],
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit (words inside any occurrence of a
-    benchmark window) and items (ids, as strings, of items with an occurring window, sorted).
+    """`docs` with n_words, n_hit (words inside any occurrence of a benchmark window) and
+    items (ids, as strings, of items with an occurring window, sorted) added; columns of
+    these names are replaced.
 
     Null or empty texts have no words; null item ids and texts match nothing; repeated
     items and documents count as themselves; an empty benchmark hits nothing.  A benchmark
@@ -131,9 +135,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and only the items that share one with a document travel to it.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, n_hit long, items array<string>"
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.drop(*FOUND)
+    names, text_at = docs.columns, docs.columns.index(text_col)
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_hit long, items array<string>"])
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null")
     size = items.agg(F.sum(F.octet_length("item_text") + F.octet_length("item") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
@@ -143,10 +147,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = None
             for b in batches:
                 index = index or Index(sent.value)
-                texts = text_or_empty(b.column(1))
-                yield _rows(b.column(0), [x for lo, hi in portions(texts) for x in match(texts[lo:hi], index)])
+                texts = text_or_empty(b.column(text_at))
+                yield _rows(b.columns, names, [x for lo, hi in portions(texts) for x in match(texts[lo:hi], index)])
 
-        return only.mapInArrow(small, out)
+        return docs.mapInArrow(small, out)
 
     def prints(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,18 +169,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 both = np.unique(np.stack([np.concatenate(owners).astype(np.uint64), np.concatenate(keys)]), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(both[0].astype(np.int64))), pa.array(both[1].view(np.int64))], names=["key", "print"])
 
-    keyed = only.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.select(F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    text = F.col("_row").getField(text_col)
     of_items = items.distinct().mapInArrow(partial(prints, whole=True), "key string, print long").withColumnRenamed("key", "item")
-    of_docs = keyed.select("key", "text").mapInArrow(partial(prints, whole=False), "key string, print long")
+    of_docs = keyed.select(F.col("_key").alias("key"), text.alias("text")).mapInArrow(partial(prints, whole=False), "key string, print long")
     shared = of_docs.join(of_items, "print").select("key", "item").distinct()
     texts_of = shared.join(items.distinct(), "item").groupBy("key").agg(F.collect_list(F.struct("item", "item_text")).alias("near"))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [match([t], Index([(x["item"], x["item_text"].encode()) for x in near or []]))[0] for t, near in zip(text_or_empty(b.column(1)), b.column(2).to_pylist(), strict=True)]
-            yield _rows(b.column(0), got)
+            own = b.columns[:-1]
+            got = [match([t], Index([(x["item"], x["item_text"].encode()) for x in near or []]))[0] for t, near in zip(text_or_empty(own[text_at]), b.columns[-1].to_pylist(), strict=True)]
+            yield _rows(own, names, got)
 
-    return keyed.join(texts_of, "key", "left").select("doc_id", "text", "near").mapInArrow(large, out)
+    return keyed.join(texts_of.withColumnRenamed("key", "_key"), "_key", "left").select("_row.*", "near").mapInArrow(large, out)
 
 
 def items_digest(items: list[str]) -> str:
