@@ -64,10 +64,11 @@ def number_lines(texts: DataFrame, text: str, separator: str = "\n", name: str |
     With `name`, texts are files: what follows the last separator is an unfinished line
     and is dropped, and an empty line is an error that names the file."""
     cut = F.split(F.col(text), re.escape(separator), -1)
+    if name:  # the tail goes before there are rows, so no later check can meet it
+        cut = F.slice(cut, F.lit(1), F.size(cut) - 1)
     rest = [c for c in texts.columns if c != text]
-    rows = texts.select(*rest, F.size(cut).alias("_n"), F.posexplode(cut).alias("_pos", "line"))
+    rows = texts.select(*rest, F.posexplode(cut).alias("_pos", "line"))
     if name:
-        rows = rows.where(F.col("_pos") < F.col("_n") - 1)
         empty = F.raise_error(F.concat(F.lit("Empty line in file:"), F.col(name), F.lit(" at line:"), F.col("_pos").cast("string")))
         rows = rows.withColumn("line", F.when(F.col("line") == "", empty).otherwise(F.col("line")))
     return rows.select(*rest, (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
