@@ -32,6 +32,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.op4_licenses import scan_licenses
+
+    got = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), "category", "n_sentences", "n_unknown")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.op5_suffix_dedup import remove_repeats
 
@@ -81,9 +88,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_token_counts, op2_packing, op3_language, op5_suffix_dedup, op6_jaccard_join, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup, pipeline]
+    made = [op1_token_counts, op2_packing, op3_language, op4_licenses, op5_suffix_dedup, op6_jaccard_join, op7_decontamination, op8_token_files, op9_sharding, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express: not byte-level BPE, mixture inference, or CRC-32."""
+    from tidelog.llm.oracles import ORACLES
+
+    return ORACLES
