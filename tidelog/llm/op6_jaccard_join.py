@@ -344,7 +344,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
     # sizes within the distance differ by at most one class
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.001 / percent))).cast("int")
     tested, labels = None, None
-    for most_rank, salt, forest in ((1, 1, True), (4, 2, True), (None, 3, True), (None, None, False)):
+    for most_rank, salt, forest in ((1, 1, True), (None, 2, True), (None, None, False)):
         rows = held if most_rank is None else held.where(F.col("rank") < most_rank)
         if labels is None:
             rows = rows.withColumn("label", F.col("uid"))
@@ -364,6 +364,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         if tested is not None:
             found = found.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         pairs = save(found, "pairs").df
+        if not pairs.take(1):
+            continue
         ends = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct().join(place, "uid").select("chunk", "uid")
         sets = save(fetch(ends, "uid long, keys binary", packed), "sets")
         of_u = sets.df.select(F.col("uid").alias("u"), F.col("keys").alias("x"))
@@ -371,10 +373,26 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         checked = save(pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "x", "y").mapInArrow(verify, "u long, v long, link boolean"), "checked").df
         sets.drop()
         tested = checked if tested is None else tested.union(checked)
-        labels = components(tested.where("link").select(F.col("u").alias("a"), F.col("v").alias("b")), "sets").select(F.col("node").alias("uid"), F.col("component").alias("label"))
+        links = checked.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        if not links.take(1):
+            continue
+        if labels is None:
+            labels = components(links, "sets").select(F.col("node").alias("uid"), F.col("component").alias("label"))
+            continue
+        # only what new links join is labelled anew
+        for end in ("a", "b"):
+            links = links.join(labels.withColumnRenamed("uid", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        merged = components(links, "sets").select(F.col("node").alias("label"), F.col("component").alias("new"))
+        known_labels = labels.join(merged, "label", "left").select("uid", F.coalesce("new", "label").alias("label"))
+        alone = merged.join(labels.select(F.col("label")).distinct(), "label", "left_anti").select(F.col("label").alias("uid"), F.col("new").alias("label"))
+        labels = save(known_labels.union(alone), "labels").df
 
     classes = listed.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
-    named = save(classes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named").df
+    if labels is None:
+        named = classes.withColumn("label", F.col("uid"))
+    else:
+        named = classes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    named = save(named, "named").df
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     per_class = named.join(heads, "label").select("digest", "label", "component_id")
     return store, listed.join(per_class, "digest", "left").select("chunk", "uid", "doc_id", "n_shingles", "label", "component_id")
