@@ -10,13 +10,15 @@ Texts that hold the string of a special token go to the library whole.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85]")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Stands for a piece whose ends are no safe cuts; joining or adding it fails.
+BAD = ""
+MARKS = (".", ",")
 
 
 def default_path() -> str:
@@ -26,87 +28,119 @@ def default_path() -> str:
 
 
 def pieces(text: str) -> list[str]:
-    """Pieces to encode alone.  A piece that starts with a newline stands as it is, the
-    first has no space before it, and all others have one."""
-    if IRREGULAR.search(text):
-        return SAFE.split(text)
-    return text.replace("\n", " \n").split(" ")
+    """Pieces of a text with a newline put before it: one for each space or newline, which
+    is part of the piece if it is a newline and left out if it is a space."""
+    return f"\n{text}".replace("\n", " \n").split(" ")[1:]
+
+
+def is_bad(piece: str) -> bool:
+    """Whether white space meets one of the cuts around a piece."""
+    return piece in ("", "\n") or piece[-1].isspace() or piece[piece[0] == "\n"].isspace()
 
 
 class Bpe:
     """Piece caches over one tokenizer file.
 
-    `limit` bounds each cache: a full cache falls back to the `base` tier it was given.
-    """
+    `limit` bounds each cache; a full one keeps its short pieces, or starts anew from
+    `base`, the first tier that it was given."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tok = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = limit
         self.sizes = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.sizes[i] = len(token)  # a byte-level token has one character for each byte
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        self.newline = len(self.encode_whole("\n"))
+        self.ids: dict[str, bytes | str] = {}
+        self.counts: dict[str, int | str] = {}
         self.base: dict[str, int] = {}
+        self.odd: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def encode_pieces(self, new: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of pieces, each with the space before it.
-
-        Pieces are joined and encoded in one call where their cuts are safe; the ids are
-        dealt back by the bytes that tokens stand for."""
-        out: list[bytes] = [b""] * len(new)
-        plain = [i for i, p in enumerate(new) if p and not p[0].isspace() and not p[-1].isspace()]
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            texts = [" " + new[i] for i in some]
-            ids = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-            raw, at = ids.tobytes(), 0
-            for i, cut in zip(some, (cuts * 4).tolist(), strict=True):
-                out[i] = raw[at:cut]
-                at = cut
-        rest = sorted({*range(len(new))} - {*plain})
-        for i in rest:
-            p = new[i]
-            out[i] = np.array(self.encode_whole(p if p[:1] == "\n" else " " + p), np.uint32).tobytes()
+    def encode_pieces(self, new: Iterable[str]) -> dict[str, bytes | str]:
+        """Little-endian unsigned 32-bit ids of pieces; BAD for those that can't stand alone.
+
+        Pieces are joined and encoded in one call; the ids are dealt back by the bytes
+        that tokens stand for."""
+        out: dict[str, bytes | str] = {}
+        spaced, lined = [], []
+        for p in new:
+            if is_bad(p):
+                out[p] = BAD
+            elif p[0] == "\n":
+                lined.append(p)
+            else:
+                spaced.append(p)
+        for some, glue, mark in ((spaced, " ", 32), (lined, "", 10)):
+            for lo in range(0, len(some), 4096):
+                part = some[lo : lo + 4096]
+                text = glue + glue.join(part)
+                data = np.frombuffer(text.encode(), np.uint8)
+                ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.append(np.flatnonzero(data == mark)[1:], len(data))
+                cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1) * 4
+                raw = ids.tobytes()
+                out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist())), strict=True))
         return out
 
-    def _ordinary(self, text: str) -> bool:
-        return not any(s in text for s in self.special)
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text where white space runs: cut at its safe spaces only."""
+        if len(self.odd) > self.limit:
+            self.odd.clear()
+        cut = SAFE.split(text)
+        cut[1:] = [" " + p for p in cut[1:]]
+        for p in set(cut) - self.odd.keys():
+            self.odd[p] = np.array(self.encode_whole(p), np.uint32).tobytes()
+        return b"".join(map(self.odd.__getitem__, cut))
+
+    def _made(self, new: set[str], cache: dict, put: Callable) -> dict:
+        """Cache entries of new pieces.  A full stop or comma after a Latin letter is a
+        pre-token of its own, so the piece is what stands before it, and that mark."""
+        marked = {p: p[:-1] for p in new if p.endswith(MARKS) and p[-2:-1].isalpha() and p[-2] < "\u0250"}
+        stems = {p for p in marked.values() if p not in cache}
+        made = put(self.encode_pieces([*(p for p in new if p not in marked), *stems.difference(new)]))
+        tails = put({m: np.array(self.encode_whole(m), np.uint32).tobytes() for m in MARKS})
+        for p, stem in marked.items():
+            head = made[stem] if stem in stems else cache[stem]
+            made[p] = BAD if head is BAD else head + tails[p[-1]]
+        return made
+
+    def _all(self, texts: list[str], cache: dict, put: Callable, join: Callable, else_: Callable) -> list:
+        plain = [bool(t) and not any(s in t for s in self.special) for t in texts]
+        cut = [pieces(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        get = cache.get
+        found = [list(map(get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        if new:
+            made = self._made(new, cache, put)
+            for c, f, g in zip(cut, found, gaps, strict=True):
+                for i in g:
+                    f[i] = made[c[i]]
+            if len(cache) + len(made) > self.limit:
+                kept = self.base or {k: v for k, v in cache.items() if len(k) < 7}
+                cache.clear()
+                cache.update(kept if len(kept) + len(made) <= self.limit else {})
+            cache.update(made)
+        out = []
+        for t, ok, f in zip(texts, plain, found, strict=True):
+            try:
+                out.append(join(f) if ok else else_(np.array(self.encode_whole(t), np.uint32).tobytes() if t else b""))
+            except TypeError:  # a bad piece
+                out.append(else_(self._odd(t)))
+        return out
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces(t) if t and self._ordinary(t) else None for t in texts]
-        new = list(set(chain.from_iterable(c[1:] for c in cut if c)) - self.ids.keys())
-        if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = list(set(chain.from_iterable(c[1:] for c in cut if c)))
-        self.ids.update(zip(new, self.encode_pieces(new), strict=True))
-        get = self.ids.__getitem__
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array(self.encode_whole(t), np.uint32).tobytes() if t else b"")
-            else:
-                first = np.array(self.encode_whole(c[0]), np.uint32).tobytes()
-                out.append(b"".join([first, *map(get, c[1:])]))
-        return out
+        skip = 4 * self.newline
+        return self._all(texts, self.ids, lambda made: made, lambda f: b"".join(f)[skip:], lambda raw: raw)
 
     def n_tokens(self, texts: list[str]) -> list[int]:
         """Token counts only: lengths are kept instead of ids."""
-        cut = [pieces(t) if t and self._ordinary(t) else None for t in texts]
-        new = list(set(chain.from_iterable(c[1:] for c in cut if c)) - self.counts.keys())
-        if len(self.counts) + len(new) > self.limit:
-            self.counts = dict(self.base)
-            new = list(set(chain.from_iterable(c[1:] for c in cut if c)) - self.counts.keys())
-        self.counts.update(zip(new, (len(b) // 4 for b in self.encode_pieces(new)), strict=True))
-        get = self.counts.__getitem__
-        return [(len(self.encode_whole(t)) if t else 0) if c is None else len(self.encode_whole(c[0])) + sum(map(get, c[1:])) for t, c in zip(texts, cut, strict=True)]
+        return self._all(texts, self.counts, lambda made: {p: x if x is BAD else len(x) // 4 for p, x in made.items()}, lambda f: sum(f) - self.newline, lambda raw: len(raw) // 4)
 
 
 _LOADED: dict[tuple[str, str], Bpe] = {}

@@ -58,7 +58,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    held.update(bpe.pieces(t)[1:])
+                    held.update(bpe.pieces(t))
                     if len(held) > COUNTED:
                         held = _heavy(held, COUNTED // 4)
         held = _heavy(Counter({k: v for k, v in held.items() if 0 < len(k) <= LONGEST and "\x00" not in k}), SENT)
@@ -81,7 +81,9 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
 
 def length_table(path: str, keys: list[str]) -> bytes:
     """Tier one as bytes: the pieces, and one unsigned 16-bit length for each."""
-    lengths = np.array([len(b) // 4 for b in bpe.Bpe(path).encode_pieces(keys)], np.uint16)
+    found = bpe.Bpe(path).encode_pieces(keys)
+    keys = [k for k in keys if found[k] is not bpe.BAD]
+    lengths = np.array([len(found[k]) // 4 for k in keys], np.uint16)
     return zlib.compress(len(keys).to_bytes(4, "little") + lengths.tobytes() + "\x00".join(keys).encode())
 
 
