@@ -14,6 +14,7 @@ class that it reaches there; never all pairs.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,57 +81,97 @@ class CoverTree:
         self.centre, self.radius, self.kids = np.array(centre), np.array(radius), kids
         self.size = np.array([len(m) for m in spans])
 
+    def flat(self) -> tuple:
+        """The tree without its vectors."""
+        held = [m if m is not None else np.zeros(0, np.int64) for m in self.leaf_members]
+        ends = np.cumsum([len(m) for m in held])
+        return self.centre, self.radius, np.array(self.kids), self.size, np.concatenate(held), ends
+
+    @classmethod
+    def of(cls, x: np.ndarray, flat: tuple) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.x = x
+        tree.centre, tree.radius, tree.kids, tree.size, held, ends = flat
+        tree.leaf_members = [m if len(m) else None for m in np.split(held, ends[:-1])]
+        return tree
+
 
 def _cosines_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def dual_pairs(p: CoverTree, q: CoverTree, raw_p: np.ndarray, raw_q: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i in p, j in q) of cosine >= threshold; with `same` (one tree) each pair once."""
+    """Index pairs (i in p, j in q) of cosine >= threshold; with `same` (one tree) each pair once.
+
+    A node of p goes down with all nodes of q that are near enough, so each step is one
+    product of matrices; its children of one vector go down q together."""
     reach = float(chord(threshold)) + SLACK
-    todo = [(0, 0)] if len(p.x) and len(q.x) else []
-    while todo:
-        a, b = todo.pop()
-        ma, mb = p.leaf_members[a], q.leaf_members[b]
-        if ma is not None and mb is not None:
-            for lo in range(0, len(ma), TILE):
-                rows = ma[lo : lo + TILE]
-                c = p.x[rows] @ q.x[mb].T
-                i, j = np.nonzero(c >= threshold - SLACK)
-                value = c[i, j]
-                i, j = rows[i], mb[j]
-                edge = np.abs(value - threshold) <= SLACK
-                keep = value >= threshold
-                keep[edge] = _cosines_at(raw_p[i[edge]], raw_q[j[edge]]) >= threshold
-                if same and a == b:
-                    keep &= i < j
-                if keep.any():
-                    yield i[keep], j[keep]
-            continue
-        ka = np.arange(*p.kids[a]) if ma is None else np.array([a])
-        kb = np.arange(*q.kids[b]) if mb is None else np.array([b])
-        single: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo in range(0, len(ka), TILE):
-            rows = ka[lo : lo + TILE]
-            c = p.x[p.centre[rows]] @ q.x[q.centre[kb]].T
-            bound = p.radius[rows][:, None] + q.radius[kb][None, :] + reach
-            i, j = np.nonzero(c >= 1 - bound * bound / 2 - SLACK)
-            value, i, j = c[i, j], rows[i], kb[j]
-            if same:
-                ok = (i <= j) | (a != b)
-                value, i, j = value[ok], i[ok], j[ok]
-            # two leaves of one vector each are settled at once
-            one = (p.size[i] == 1) & (q.size[j] == 1)
-            single.append((i[one], j[one]))
-            todo += zip(i[~one].tolist(), j[~one].tolist(), strict=True)
-        for i, j in single:
-            i, j = p.centre[i], q.centre[j]
+
+    def near(c: np.ndarray, bound: np.ndarray | float) -> np.ndarray:
+        return c >= 1 - np.minimum(bound, 2.0) ** 2 / 2 - SLACK
+
+    def settle(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs, with cosines c, that link."""
+        keep = c >= threshold
+        edge = np.abs(c - threshold) <= SLACK
+        keep[edge] = _cosines_at(raw_p[i[edge]], raw_q[j[edge]]) >= threshold
+        if same:
+            keep &= i < j
+        return i[keep], j[keep]
+
+    def compare(rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(rows), TILE):
+            r = rows[lo : lo + TILE]
+            c = p.x[r] @ q.x[others].T
+            i, j = np.nonzero(c >= threshold - SLACK)
+            i, j = settle(r[i], others[j], c[i, j])
             if len(i):
-                ok = _cosines_at(raw_p[i], raw_q[j]) >= threshold
-                if same:
-                    ok &= i != j
-                if ok.any():
-                    yield i[ok], j[ok]
+                yield i, j
+
+    def below(rows: np.ndarray, kids: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The vectors of p that are near enough to each of these nodes of q."""
+        out = []
+        for k in kids:
+            close = near(p.x[rows] @ q.x[q.centre[k]], q.radius[k] + reach)
+            if close.any():
+                out.append((int(k), rows[close]))
+        return out
+
+    root = np.zeros(1, np.int64)
+    nodes: list[tuple[int, np.ndarray]] = [(0, root)] if len(p.x) and len(q.x) else []
+    points: list[tuple[int, np.ndarray]] = []  # a node of q, vectors of p
+    while nodes or points:
+        if points:
+            b, rows = points.pop()
+            if (members := q.leaf_members[b]) is not None:
+                yield from compare(rows, members)
+                continue
+            kids = np.arange(*q.kids[b])
+            one = q.size[kids] == 1
+            yield from compare(rows, q.centre[kids[one]])
+            points += below(rows, kids[~one])
+            continue
+        a, bs = nodes.pop()
+        if (members := p.leaf_members[a]) is not None:
+            points += [(int(b), members) for b in bs]
+            continue
+        while True:  # q's nodes as wide as this one are opened
+            wide = np.array([q.leaf_members[b] is None and q.radius[b] >= p.radius[a] for b in bs], bool)
+            if not wide.any():
+                break
+            opened = np.concatenate([np.arange(*q.kids[b]) for b in bs[wide]])
+            c = q.x[q.centre[opened]] @ p.x[p.centre[a]]
+            bs = np.concatenate([bs[~wide], opened[near(c, q.radius[opened] + p.radius[a] + reach)]])
+        kids = np.arange(*p.kids[a])
+        one, one_b = p.size[kids] == 1, q.size[bs] == 1
+        singles = p.centre[kids[one]]
+        yield from compare(singles, q.centre[bs[one_b]])
+        points += below(singles, bs[~one_b])
+        for k in kids[~one]:
+            c = q.x[q.centre[bs]] @ p.x[p.centre[k]]
+            close = near(c, q.radius[bs] + p.radius[k] + reach)
+            if close.any():
+                nodes.append((int(k), bs[close]))
 
 
 def _vector_blob(x: np.ndarray) -> bytes:
@@ -213,27 +254,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     def plant(cell_group: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
         """A group as one row for each pair of groups that it is in."""
         cell = t.column("cell")[0].as_py()
-        vec = b"".join(t.column("vec").to_pylist())
-        body = [vec, t.column("node").to_numpy().tobytes(), t.column("copies").to_numpy().tobytes()]
-        blob = len(t).to_bytes(8, "little") + b"".join(body)
+        raw = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<f8").reshape(len(t), -1)
+        blob = pickle.dumps((raw, t.column("node").to_numpy(), t.column("copies").to_numpy(), CoverTree(unit_rows(raw)).flat()))
         g = int(cell_group)
         others = [base[d] + k for d in partners[cell] for k in range(parts[d])]
         for lo in range(0, len(others), 64):
             some = others[lo : lo + 64]
             yield pa.RecordBatch.from_arrays([pa.array([min(g, o) * groups + max(g, o) for o in some], pa.int64()), pa.array([g] * len(some), pa.int64()), pa.array([blob] * len(some), pa.binary())], names=["pair", "side", "blob"])
 
-    def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = int.from_bytes(blob[:8], "little")
-        node, copies = (np.frombuffer(blob, np.int64, k, len(blob) - 8 * k * (2 - i)) for i in range(2))
-        return np.frombuffer(blob, "<f8", (len(blob) - 8 - 16 * k) // 8, 8).reshape(k, -1), node, copies
-
     def walk(pair: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
         sides = sorted(zip(t.column("side").to_pylist(), t.column("blob").to_pylist(), strict=True))
-        p = opened(sides[0][1])
-        q = opened(sides[-1][1])
         same = sides[0][0] == sides[-1][0]
-        tp = CoverTree(unit_rows(p[0]))
-        tq = tp if same else CoverTree(unit_rows(q[0]))
+        p = pickle.loads(sides[0][1])
+        q = p if same else pickle.loads(sides[-1][1])
+        tp = CoverTree.of(unit_rows(p[0]), p[3])
+        tq = tp if same else CoverTree.of(unit_rows(q[0]), q[3])
         links_p, links_q = np.zeros(len(p[0]), np.int64), np.zeros(len(q[0]), np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in dual_pairs(tp, tq, p[0], q[0], threshold, same):
