@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_group, chunks, components, mix, pack, power_of_two, read_chunk, save, unpack
+from tidelog.llm.common import by_group, chunks, components, mix, pack, power_of_two, read_chunk, save, shuffle_partitions, unpack
 from tidelog.llm.words import Words, grams, mask, portions
 
 IS_WORD = mask([(0x20, 0x20), (0x09, 0x0D)])
@@ -40,6 +41,8 @@ PERCENT = 80
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 512 << 10
 #: Largest region that is compared at once, pivots of a larger one, vectors of a cell's block.
 LEAF, PIVOTS, BLOCK = 256, 8, 512
+#: Regions of up to so many are compared together.
+SMALL = 8
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -89,9 +92,14 @@ def _l1(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def region_pairs(vectors: np.ndarray, size: np.ndarray, percent: int = PERCENT, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance) of the vectors that may link, i < j, by recursive pivot regions."""
+def region_pairs(vectors: np.ndarray, size: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the vectors that may link, i < j, by recursive pivot regions.
+
+    `rest`: shingles of each set from the cell's own on.  A pair's first common shingle is
+    in a cell of both, and there the intersection is no larger than the lesser rest; so a
+    cell may leave out pairs whose rests are too small."""
     x = vectors.astype(np.int16)
+    coarse = x.reshape(len(x), 16, -1).sum(2).astype(np.int16)  # a quarter of the classes, a lesser distance
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def compare(home: np.ndarray, others: np.ndarray) -> None:
@@ -99,9 +107,17 @@ def region_pairs(vectors: np.ndarray, size: np.ndarray, percent: int = PERCENT,
             h = home[lo : lo + 512]
             for at in range(0, len(others), 512):
                 o = others[at : at + 512]
-                d = _l1(x[h], x[o])
-                i, j = np.nonzero(allowed(size[h][:, None], size[o][None, :], d, percent))
-                found.append((h[i], o[j], d[i, j]))
+                may = allowed(size[h][:, None], size[o][None, :], _l1(coarse[h], coarse[o]), percent)
+                if rest is not None:
+                    may &= (100 + percent) * np.minimum(rest[h][:, None], rest[o][None, :]) >= percent * (size[h][:, None] + size[o][None, :])
+                i, j = np.nonzero(may)
+                i, j = h[i], o[j]
+                i, j = i[i != j], j[i != j]
+                for part in range(0, len(i), 100_000):
+                    a, b = i[part : part + 100_000], j[part : part + 100_000]
+                    d = np.abs(x[a] - x[b]).sum(1, dtype=np.int64)
+                    ok = allowed(size[a], size[b], d, percent)
+                    found.append((a[ok], b[ok], d[ok]))
 
     todo = [(np.arange(len(x)), np.zeros(0, np.int64))]
     while todo:
@@ -312,23 +328,55 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
     vectors = save(fetch(held.select("chunk", "uid"), "uid long, vector binary", sketches), "vectors").df
     place = held.select("uid", "chunk").distinct()
 
+    def compare(t: pa.Table, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of whole regions, rows sorted by region.  Small regions are compared
+        together, each row with those up to SMALL - 1 places on; large ones one by one."""
+        column = {c: t.column(c).to_numpy() for c in ("region", "uid", "label", "block")}
+        region, uid, label, block = column.values()
+        size = t.column("size").to_numpy().astype(np.int64)
+        rest = size - t.column("rank").to_numpy()
+        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.uint8).reshape(-1, CLASSES)
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        n = np.diff(np.append(starts, len(region)))
+        few = np.flatnonzero(np.repeat(n <= SMALL, n))
+        for k in range(1, SMALL):
+            i, j = few[:-k], few[k:]
+            ok = (region[i] == region[j]) & (label[i] != label[j])
+            ok &= (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (size[i] + size[j])
+            i, j = i[ok], j[ok]
+            ok = allowed(size[i], size[j], np.abs(x[i].astype(np.int16) - x[j]).sum(1, dtype=np.int64), percent)
+            yield uid[i[ok]], uid[j[ok]]
+        for lo, m in zip(starts[n > SMALL].tolist(), n[n > SMALL].tolist(), strict=True):
+            own = slice(lo, lo + m)
+            i, j, d = region_pairs(x[own], size[own], percent, rest=rest[own])
+            i, j = i + lo, j + lo
+            across = len(np.unique(block[own])) > 1  # a region of two blocks has only pairs of both
+            ok = (label[i] != label[j]) & ((block[i] != block[j]) if across else True)
+            i, j, d = i[ok], j[ok], d[ok]
+            if forest and len(i):
+                pick = spanning_forest(i - lo, j - lo, d / (size[i] + size[j]), label[own])
+                i, j = i[pick], j[pick]
+            yield uid[i], uid[j]
+
     def region(forest: bool):
-        def run(key: object, t: pa.Table) -> Iterator[pa.RecordBatch]:
-            uid, at = np.unique(t.column("uid").to_numpy(), return_index=True)
-            if len(uid) > 1:
-                size = t.column("size").to_numpy().astype(np.int64)[at]
-                label = t.column("label").to_numpy()[at]
-                block = t.column("block").to_numpy()[at]
-                x = np.frombuffer(b"".join(t.column("vector").take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, CLASSES)
-                i, j, d = region_pairs(x, size, percent)
-                across = len(np.unique(block)) > 1  # a region of two blocks has only pairs of both
-                ok = (label[i] != label[j]) & ((block[i] != block[j]) if across else True)
-                i, j, d = i[ok], j[ok], d[ok]
-                if forest and len(i):
-                    pick = spanning_forest(i, j, d / (size[i] + size[j]), label)
-                    i, j = i[pick], j[pick]
-                for lo in range(0, len(i), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[i[lo : lo + 50_000]]), pa.array(uid[j[lo : lo + 50_000]])], names=["u", "v"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in chain(batches, [None]):
+                t = pa.Table.from_batches([b]) if b is not None else None
+                whole = pa.concat_tables([x for x in (held, t) if x is not None]) if held is not None or t is not None else None
+                held = None
+                if whole is None or not len(whole):
+                    continue
+                if b is not None:  # the last region may go on
+                    key = whole.column("region").to_numpy()
+                    cut = int(np.searchsorted(key, key[-1], "left"))
+                    held, whole = whole.slice(cut), whole.slice(0, cut)
+                if not len(whole):
+                    continue
+                for u, v in compare(whole, forest):
+                    low, high = np.minimum(u, v), np.maximum(u, v)
+                    for lo in range(0, len(low), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(low[lo : lo + 50_000]), pa.array(high[lo : lo + 50_000])], names=["u", "v"])
 
         return run
 
@@ -359,8 +407,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         else:  # a first look: each block alone
             rows = rows.withColumn("other", F.col("block"))
         rows = rows.withColumn("region", F.xxhash64("key", "class", F.least("block", "other"), F.greatest("block", "other")))
-        rows = rows.join(vectors, "uid").select("region", "uid", "size", "label", "block", "vector")
-        found = rows.repartition("region").sortWithinPartitions("region").mapInArrow(by_group(rows.columns, "region", region(forest)), "u long, v long").distinct()
+        rows = rows.join(vectors, "uid").select("region", "uid", "size", "rank", "label", "block", "vector")
+        # a fixed number of partitions: regions are small in bytes and large in work
+        found = rows.repartition(4 * shuffle_partitions(docs.sparkSession), "region").sortWithinPartitions("region").mapInArrow(region(forest), "u long, v long").distinct()
         if tested is not None:
             found = found.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         pairs = save(found, "pairs").df
