@@ -131,10 +131,12 @@ def dual_pairs(p: CoverTree, q: CoverTree, raw_p: np.ndarray, raw_q: np.ndarray,
     def below(rows: np.ndarray, kids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """The vectors of p that are near enough to each of these nodes of q."""
         out = []
-        for k in kids:
-            close = near(p.x[rows] @ q.x[q.centre[k]], q.radius[k] + reach)
-            if close.any():
-                out.append((int(k), rows[close]))
+        if len(kids) and len(rows):
+            centres = q.x[q.centre[kids]]
+            for lo in range(0, len(rows), TILE):
+                part = rows[lo : lo + TILE]
+                close = near(p.x[part] @ centres.T, q.radius[kids][None, :] + reach)
+                out += [(int(kids[m]), part[close[:, m]]) for m in np.flatnonzero(close.any(0))]
         return out
 
     root = np.zeros(1, np.int64)
@@ -167,11 +169,12 @@ def dual_pairs(p: CoverTree, q: CoverTree, raw_p: np.ndarray, raw_q: np.ndarray,
         singles = p.centre[kids[one]]
         yield from compare(singles, q.centre[bs[one_b]])
         points += below(singles, bs[~one_b])
-        for k in kids[~one]:
-            c = q.x[q.centre[bs]] @ p.x[p.centre[k]]
-            close = near(c, q.radius[bs] + p.radius[k] + reach)
-            if close.any():
-                nodes.append((int(k), bs[close]))
+        wide = kids[~one]
+        others = q.x[q.centre[bs]] if len(wide) else None
+        for lo in range(0, len(wide), 128):
+            part = wide[lo : lo + 128]
+            close = near(others @ p.x[p.centre[part]].T, q.radius[bs][:, None] + p.radius[part][None, :] + reach)
+            nodes += [(int(part[m]), bs[close[:, m]]) for m in np.flatnonzero(close.any(0))]
 
 
 def _vector_blob(x: np.ndarray) -> bytes:
