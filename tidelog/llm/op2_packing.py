@@ -29,11 +29,13 @@ def projection() -> np.ndarray:
     return np.random.default_rng(1024).choice([-1.0, 1.0], (SLOTS, DIMS))
 
 
-def vector(ids: np.ndarray) -> np.ndarray:
-    """The hashed count vector of a document's ids, of length 1."""
-    slot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-    v = np.sqrt(np.bincount(slot.astype(np.int64), minlength=SLOTS))
-    return v / max(np.linalg.norm(v), 1e-12)
+def vectors(documents: list[np.ndarray]) -> np.ndarray:
+    """The hashed count vector of each document's ids, of length 1; each has an id at least."""
+    ids = np.concatenate(documents)
+    slot = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
+    owner = np.repeat(np.arange(len(documents)) * SLOTS, [len(d) for d in documents])
+    v = np.sqrt(np.bincount(owner + slot, minlength=len(documents) * SLOTS)).reshape(-1, SLOTS)
+    return v / np.maximum(np.sqrt((v * v).sum(1)), 1e-12)[:, None]
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 def curve_keys(documents: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     if not documents:
         return np.zeros(0, np.int64)
-    y = np.stack([vector(d) for d in documents]) @ matrix / np.sqrt(SLOTS)
+    y = vectors(documents) @ matrix / np.sqrt(SLOTS)
     return hilbert(np.clip((y + 1) / 2, 0, 1 - 2.0**-BITS) * (1 << BITS), BITS)
 
 
@@ -78,6 +80,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
     vocabulary = tokenizer or bpe.default_path()
     kind = docs.schema[id_col].dataType.simpleString()
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    width = "<u2" if max(bpe.loaded(vocabulary).tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, matrix, n = bpe.loaded(vocabulary), projection(), 0
@@ -88,7 +91,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
                 some = b.slice(lo, 256)
                 raw = [x + end for x in encoder.id_bytes([t or "" for t in some.column(1).to_pylist()])]
                 ids = [np.frombuffer(x, "<u4") for x in raw]
-                blobs = [press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in ids]
+                blobs = [press.compress(x.astype(width)) for x in ids]
                 uid = (task_id() << 40) + n + np.arange(len(ids))
                 n += len(ids)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(uid), pa.array(curve_keys(ids, matrix)), pa.array([len(x) for x in ids], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "uid", "curve", "n", "blob"])
@@ -104,7 +107,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
                 owner, start, length, crc, ids = [], [], [], [], []
                 tape = some.column(3).to_pylist()
                 for i, (n, blob, at) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist(), tape, strict=True)):
-                    raw = np.ascontiguousarray(np.frombuffer(press.decompress(blob), np.uint8).reshape(4, n).T).tobytes()
+                    raw = np.frombuffer(press.decompress(blob), width).astype("<u4").tobytes()
                     s = 0
                     while s < n:
                         e = min(n, s + capacity - (at + s) % capacity)
