@@ -10,18 +10,20 @@ The document's language is the one of the largest share in that set, the score i
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import mix
+
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Hashed n-gram slots of a language, n-gram sizes, additive smoothing.
-SLOTS, SIZES, SMOOTH = 1 << 15, (2, 3), 0.5
+#: Hashed slots of n-grams of bytes for a language, n-gram sizes, additive smoothing.
+SLOTS, SIZES, SMOOTH = 1 << 15, (2, 3, 4), 0.5
 #: Most labelled documents of a language that training reads, in expectation.
 TRAIN_DOCS = 2000
 #: Penalty of each language in the set, in units of the logarithm of the number of words.
@@ -30,9 +32,32 @@ PENALTY = 2.0
 CACHED = 300_000
 
 
-def gram_slots(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [zlib.crc32(w[i : i + n].encode()) % SLOTS for n in SIZES for i in range(len(w) - n + 1)]
+def letters(token: str) -> str:
+    """The words of a token, lower-cased, a space around each; empty without a letter."""
+    if token.isalpha():
+        return f" {token.lower()} "
+    words = LETTERS.findall(token.lower())
+    return f" {' '.join(words)} " if words else ""
+
+
+def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index into words, slot) of every n-gram of the words' UTF-8 bytes."""
+    raw = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    owners, slots = [], []
+    for n in SIZES:
+        m = len(data) - n + 1
+        if m <= 0:
+            continue
+        ok = owner[:m] == owner[n - 1 :]
+        g = np.full(m, n, np.uint64)
+        for i in range(n):
+            g = (g << np.uint64(8)) | data[i : i + m]
+        owners.append(owner[:m][ok])
+        slots.append((mix(g[ok]) % np.uint64(SLOTS)).astype(np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *owners]), np.concatenate([none, *slots])
 
 
 def held_out(id_col: str) -> Column:
@@ -48,19 +73,23 @@ class Model:
         self.table = np.log(c / c.sum(0)) if len(langs) else c
         self.words: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)))
-
-    def _row(self, token: str) -> int:
-        """Place of a token's likelihoods in rows; -1: no letter."""
-        words = LETTERS.findall(token.lower())
-        at = -1
-        if words:
-            at = len(self.words)
-            if at >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            x = self.table[[s for w in words for s in gram_slots(w)]].sum(0)
-            self.rows[at] = np.exp(np.maximum(x - x.max(), -60))
-        self.words[token] = at
-        return at
+        self.used = 0
+
+    def learn(self, tokens: list[str]) -> None:
+        """Gives new tokens their places in rows; -1: no letter."""
+        words = [letters(t) for t in tokens]
+        have = [i for i, w in enumerate(words) if w]
+        self.words.update(dict.fromkeys(tokens, -1))
+        if not have:
+            return
+        at = self.used
+        owner, slot = gram_slots([words[i] for i in have])
+        x = np.stack([np.bincount(owner, self.table[slot, k], len(have)) for k in range(len(self.langs))], 1)
+        while at + len(have) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at : at + len(have)] = np.exp(np.maximum(x - x.max(1, keepdims=True), -60))
+        self.words.update(zip([tokens[i] for i in have], range(at, at + len(have)), strict=True))
+        self.used = at + len(have)
 
     def shares(self, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Shares of the languages by expectation-maximisation, and the log-likelihood."""
@@ -75,16 +104,24 @@ class Model:
                 break
         return p, float(n @ np.log(np.maximum(e @ p, 1e-300)))
 
-    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        """Language, score and the shares of the selected set."""
-        if not text or not self.langs:
-            return "und", 0.0, {}
-        if len(self.words) > CACHED:
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
+        """Language, score and the shares of the selected set, for each text."""
+        if not self.langs:
+            return [("und", 0.0, {})] * len(texts)
+        tokens = [t.split() if t else [] for t in texts]
+        new = list(set(chain.from_iterable(tokens)) - self.words.keys())
+        if len(self.words) + len(new) > CACHED:
             self.words.clear()
-        counts = Counter(text.split())
-        known = self.words
-        places = [known[t] if t in known else self._row(t) for t in counts]
-        at = np.array(places)
+            self.used = 0
+            new = list(set(chain.from_iterable(tokens)))
+        self.learn(new)
+        return [self._predict(Counter(t)) for t in tokens]
+
+    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
+        return self.predict_all([text])[0]
+
+    def _predict(self, counts: Counter) -> tuple[str, float, dict[str, float]]:
+        at = np.fromiter(map(self.words.__getitem__, counts), np.int64, len(counts))
         n = np.fromiter(counts.values(), float, len(counts))
         ok = at >= 0
         if not ok.any():
@@ -123,10 +160,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         held: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = held.setdefault(lang, np.zeros(SLOTS, np.int64))
-                for w, n in Counter(LETTERS.findall(text.lower())).items():
-                    for s in gram_slots(w):
-                        c[s] += n
+                words = [w for w in map(letters, text.split()) if w]
+                held[lang] = held.get(lang, 0) + np.bincount(gram_slots(words)[1], minlength=SLOTS)
         for lang, c in held.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "slot", "n"])
@@ -156,7 +191,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 m = Model([], np.zeros((SLOTS, 0)))
                 m.langs, m.table = sent.value
                 m.rows = np.zeros((1024, len(m.langs)))
-            got = [m.predict(t) for t in b.column(text_at).to_pylist()]
+            texts = b.column(text_at).to_pylist()
+            got = [x for lo in range(0, len(texts), 512) for x in m.predict_all(texts[lo : lo + 512])]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([list(x[2].items()) for x in got], pa.map_(pa.string(), pa.float64()))],
                 names=[*b.schema.names, "lang_pred", "score", "lang_shares"],
