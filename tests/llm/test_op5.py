@@ -53,6 +53,18 @@ def test_wide_groups(spark, monkeypatch):
     assert got(df, chunk_bytes=100_000) == brute(texts(df))
 
 
+def test_repeated_rows_in_several_chunks(spark):
+    """Each row of a repeated id loses a passage that only partly fills its contexts."""
+    words = [hashlib.sha256(bytes([i])).hexdigest() for i in range(40)]
+    passage = words[0][:60]
+    twice = (2, f"{words[1]} {passage} {words[2]}")
+    rows = [(1, f"{words[3]} {passage} {words[4]}"), twice, *((10 + i, w * 3) for i, w in enumerate(words[5:])), twice]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = brute(rows)
+    assert [r[2] for r in want if r[0] == 2] == [62, 62]
+    assert got(df, chunk_bytes=200) == want
+
+
 def test_empty(spark):
     assert got(empty(spark)) == []
 

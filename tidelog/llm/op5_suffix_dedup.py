@@ -9,7 +9,7 @@ Suffixes of all positions would be many times the corpus, so it is cut down firs
    contexts as (gram hash, context hash, smallest document) to buckets by gram hash.
    A context that also lies in a document of smaller id is removed whole; a gram that
    has several contexts needs its strings compared.
-2. Only for those, one document for each context sends the context's bytes.  Each bucket
+2. Only for those, the smallest document of each context sends the context's bytes.  Each bucket
    sorts the suffixes that start a string of T bytes (suffix order, ties by document),
    takes longest common prefixes of neighbours, and finds for each suffix the previous
    and next one of a smaller document: its longest previous factor.  Where that
@@ -38,7 +38,7 @@ T, K = 50, 20
 W = T - K + 1
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 512 << 10
 LAST = np.uint64(2**64 - 1)
-#: A group of one gram with more contexts than this is compared by hashed strings, spread out.
+#: A group of one gram that is asked for more contexts than this is compared by hashed strings, spread out.
 WIDE = 20_000
 SAME, ASK, SPREAD = 1, 2, 3
 
@@ -106,7 +106,8 @@ def _batch(chunk: list, bucket: list, blob: list) -> pa.RecordBatch:
 
 def answer_entries(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """SAME for an entry whose context lies in a smaller document; ASK (or SPREAD, in a wide
-    group) for the first of a context whose gram has other contexts in other documents; else 0."""
+    group) for each entry of the context's smallest document (rows of one id may lie in several
+    chunks) if its gram has other contexts in other documents; else 0."""
     order = np.lexsort((doc, context, h))
     h, context, doc = h[order], context[order], doc[order]
     out = np.zeros(len(h), np.uint8)
@@ -114,11 +115,13 @@ def answer_entries(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.nd
         return out
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])])
     firsts = np.flatnonzero(new)
-    code = np.where(doc > doc[firsts][np.cumsum(new) - 1], SAME, 0).astype(np.uint8)
+    which = np.cumsum(new) - 1
+    same = doc > doc[firsts][which]
     groups = np.flatnonzero(np.concatenate([[True], h[firsts][1:] != h[firsts][:-1]]))
-    n = np.diff(np.append(groups, len(firsts)))
-    several = (n > 1) & (np.minimum.reduceat(doc[firsts], groups) < np.maximum.reduceat(doc[firsts], groups))
-    code[firsts] = np.repeat(np.where(several, np.where(n > WIDE, SPREAD, ASK), 0), n).astype(np.uint8)
+    several = np.minimum.reduceat(doc[firsts], groups) < np.maximum.reduceat(doc[firsts], groups)
+    asked = np.add.reduceat(~same, firsts[groups], dtype=np.int64)
+    kind = np.repeat(np.where(several, np.where(asked > WIDE, SPREAD, ASK), 0), np.diff(np.append(groups, len(firsts))))
+    code = np.where(same, SAME, kind[which]).astype(np.uint8)
     out[order] = code
     return out
 
