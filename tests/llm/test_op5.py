@@ -83,3 +83,25 @@ def test_longest_previous_factor():
     import numpy as np
 
     assert op5.longest_previous(np.array(order), np.array(lcps)).tolist() == [max([0, *(lcp(j, i) for j in range(i))]) for i in range(len(text))]
+
+
+def test_factors_decide():
+    """Suffixes in and beyond runs of shared prefixes, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 60, 400):
+        rows = np.zeros((n, 80), np.uint8)
+        rows[:, :50] = rng.integers(0, 2, (n, 1)) + (rng.random((n, 50)) < 0.004)
+        rows[:, 50:] = rng.integers(0, 2, (n, 30))
+        doc = rng.integers(0, 30, n)
+        order = np.lexsort((doc, *rows.T[::-1]))
+        r, d = rows[order], doc[order]
+        pairs = [[int((r[i] != r[j]).argmax()) if (r[i] != r[j]).any() else 80 for j in range(n)] for i in range(n)]
+        want = np.array([max([0, *(pairs[i][j] for j in range(n) if d[j] < d[i])]) for i in range(n)], int)
+        lcp = op5.neighbours_lcp(r) if n else np.zeros(0, int)
+        assert op5.factors(d, lcp).tolist() == want.tolist()
+        fifty = op5.factors(d, lcp, 50)
+        assert np.array_equal(fifty >= 50, want >= 50) and np.array_equal(fifty[want >= 50], want[want >= 50])
+        if n:
+            assert np.array_equal(op5.copies(rows, doc)[order], want >= 50)

@@ -133,43 +133,57 @@ def neighbours_lcp(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], first])
 
 
+def factors(value: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each place of a suffix order (lcp[i]: of places i - 1 and i) the longest match with
+    a suffix of smaller value, from the previous and the next place of a smaller value.
+    Matches shorter than `least` may be given as 0.
+
+    A smaller value is looked for by halving steps over minima of windows, no further than the
+    longest run of prefixes of `least` or more."""
+    n = len(value)
+    best = np.zeros(n, np.int64)
+    if not n:
+        return best
+    heads = np.flatnonzero(np.concatenate([[True], lcp[1:] < least, [True]]))
+    levels = int(np.diff(heads).max()).bit_length()
+    for v, m in ((value, lcp[1:]), (value[::-1], lcp[:0:-1])):
+        lows, mins = [v], [np.concatenate([[0], m])]
+        for k in range(levels - 1):
+            lows.append(np.concatenate([lows[k][: 1 << k], np.minimum(lows[k][1 << k :], lows[k][: -(1 << k)])]))
+            mins.append(np.concatenate([mins[k][: 1 << k], np.minimum(mins[k][1 << k :], mins[k][: -(1 << k)])]))
+        at, reach = np.arange(n) - 1, mins[0]
+        for k in range(levels - 1, -1, -1):
+            place = np.maximum(at, 0)
+            skip = (at >= 0) & (lows[k][place] >= v)
+            reach = np.where(skip, np.minimum(reach, mins[k][place]), reach)
+            at = np.where(skip, at - (1 << k), at)
+        reach = np.where((at >= 0) & (v[np.maximum(at, 0)] < v), reach, 0)
+        best = np.maximum(best, reach if v is value else reach[::-1])
+    return best
+
+
 def copies(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each row's longest previous factor is the whole row: an equal row lies in a
-    document of smaller id.
+    """Whether each suffix (a row, filled up with zeros, of T bytes at least) has a longest
+    previous factor of T bytes or more, among the suffixes of documents of smaller id.
 
-    In suffix order with ties by document, the previous smaller value of a suffix inside
-    its run of full common prefixes is the last one of the next smaller document, and
-    the next smaller value lies beyond the run; so the factor is whole where a previous
-    smaller value exists in the run."""
+    Suffixes that share less than T bytes with both neighbours can't and are left out."""
     keys = np.concatenate([rows, np.ones((len(rows), 1), np.uint8)], 1)
     text = np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").reshape(-1)
     order = np.lexsort((doc, text))
-    lcp, d = neighbours_lcp(rows[order]), doc[order]
-    run = np.cumsum(lcp < rows.shape[1]) - 1
-    heads = np.flatnonzero(lcp < rows.shape[1])
+    lcp = neighbours_lcp(rows[order])
+    near = lcp >= T
+    at = np.flatnonzero(near | np.append(near[1:], False))
     out = np.zeros(len(rows), bool)
-    out[order] = d > d[heads][run]
+    out[order[at]] = factors(doc[order[at]], lcp[at], T) >= T
     return out
 
 
 def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """Longest-previous-factor array: for each position of `order` (a suffix order of the
     positions 0 to n-1, lcp[i] that of order[i-1] and order[i]) the longest match with a
-    suffix that starts earlier, from the previous and next smaller position."""
-    n = len(order)
-    best = np.zeros(n, np.int64)
-    for sign in (1, -1):
-        stack: list[tuple[int, int]] = []  # (position, least lcp since it)
-        for i in range(n) if sign == 1 else range(n - 1, -1, -1):
-            reach = int(lcp[i]) if sign == 1 else int(lcp[i + 1]) if i + 1 < n else 0
-            while stack:
-                stack[-1] = (stack[-1][0], min(stack[-1][1], reach))
-                if stack[-1][0] < order[i]:
-                    break
-                reach = stack.pop()[1]
-            if stack:
-                best[order[i]] = max(best[order[i]], stack[-1][1])
-            stack.append((int(order[i]), 1 << 60))
+    suffix that starts earlier."""
+    best = np.zeros(len(order), np.int64)
+    best[order] = factors(order, lcp)
     return best
 
 
@@ -258,20 +272,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n = int.from_bytes(blob[:8], "little")
         return unpack(blob[8 : 8 + n]), np.frombuffer(zstandard.decompress(blob[8 + n :]), np.uint8).reshape(-1, W - 1 + T)
 
-    def strings(doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entry, distance of the anchor from the start, bytes) of all strings of T."""
+    def strings(doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry, distance of the anchor from the start, bytes) of all suffixes that start a
+        string of T, cut or filled up to `width` bytes."""
         entry, back, body = [], [], []
         for o in range(W):
             ok = np.flatnonzero((o <= left) & (T - o <= right))
             entry.append(ok)
             back.append(np.full(len(ok), o))
-            body.append(rows[ok, W - 1 - o : W - 1 - o + T])
+            part = rows[ok, W - 1 - o : W - 1 - o + width]
+            body.append(np.pad(part, ((0, 0), (0, width - part.shape[1]))))
         return np.concatenate(entry), np.concatenate(back), np.concatenate(body)
 
     def compare(bucket: object, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         got = [opened(x) for x in rows.column("blob").to_pylist()]
         at, doc, left, right = (np.concatenate([x[0][i] for x in got]) for i in range(4))
-        entry, back, body = strings(doc, left.astype(np.int64), right.astype(np.int64), np.concatenate([x[1] for x in got]))
+        entry, back, body = strings(doc, left.astype(np.int64), right.astype(np.int64), np.concatenate([x[1] for x in got]), W - 1 + T)
         masks = np.zeros(len(at), np.uint32)
         copy = copies(body, doc[entry])
         np.bitwise_or.at(masks, entry[copy], np.uint32(1) << back[copy].astype(np.uint32))
@@ -285,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 (at, doc, left, right), rows = opened(blob)
-                entry, back, body = strings(doc, left.astype(np.int64), right.astype(np.int64), rows)
+                entry, back, body = strings(doc, left.astype(np.int64), right.astype(np.int64), rows, T)
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in body]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(at[entry]), pa.int64()), pa.array(at[entry]), pa.array(back.astype(np.int32)), pa.array(doc[entry]), pa.array(digest, pa.binary())], names=["chunk", "at", "back", "doc", "digest"])
 
