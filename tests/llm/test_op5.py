@@ -53,6 +53,15 @@ def test_wide_groups(spark, monkeypatch):
     assert got(df, chunk_bytes=100_000) == brute(texts(df))
 
 
+def test_wide_groups_in_the_workers(spark, monkeypatch):
+    """With `wide` 0 the workers spread every asked gram: compare() gets nothing."""
+    df = small(spark)
+    held, kept = op5.save, []
+    monkeypatch.setattr(op5, "save", lambda *a: kept.append(held(*a)) or kept[-1])
+    assert got(df, chunk_bytes=100_000, wide=0) == brute(texts(df))
+    assert kept[0].df.where("bucket < -1").count() > 0 and kept[0].df.where("bucket >= 0").count() == 0
+
+
 def test_repeated_rows_in_several_chunks(spark):
     """Each row of a repeated id loses a passage that only partly fills its contexts."""
     words = [hashlib.sha256(bytes([i])).hexdigest() for i in range(40)]

@@ -104,7 +104,7 @@ def _batch(chunk: list, bucket: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["chunk", "bucket", "blob"])
 
 
-def answer_entries(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def answer_entries(h: np.ndarray, context: np.ndarray, doc: np.ndarray, wide: int = WIDE) -> np.ndarray:
     """SAME for an entry whose context lies in a smaller document; ASK (or SPREAD, in a wide
     group) for each entry of the context's smallest document (rows of one id may lie in several
     chunks) if its gram has other contexts in other documents; else 0."""
@@ -120,7 +120,7 @@ def answer_entries(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.nd
     groups = np.flatnonzero(np.concatenate([[True], h[firsts][1:] != h[firsts][:-1]]))
     several = np.minimum.reduceat(doc[firsts], groups) < np.maximum.reduceat(doc[firsts], groups)
     asked = np.add.reduceat(~same, firsts[groups], dtype=np.int64)
-    kind = np.repeat(np.where(several, np.where(asked > WIDE, SPREAD, ASK), 0), np.diff(np.append(groups, len(firsts))))
+    kind = np.repeat(np.where(several, np.where(asked > wide, SPREAD, ASK), 0), np.diff(np.append(groups, len(firsts))))
     code = np.where(same, SAME, kind[which]).astype(np.uint8)
     out[order] = code
     return out
@@ -187,14 +187,15 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return best
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
     `keep_text`, kept (the bytes left) and kept_text (these as text, less the rests of
     characters that were cut) added; columns of these names are replaced.
 
     Ids are integers; rows of one id are no copies of each other, and rows without an id
     keep their text and are no one's source.  Null texts are empty.  Repeated rows each
-    give a row, and an empty table gives none.
+    give a row, and an empty table gives none.  A gram asked for more than `wide` contexts is
+    compared spread out.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     store = chunks(docs, chunk_bytes, text_col, "texts")
@@ -214,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def answer(bucket: object, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         got = [unpack(x) for x in rows.column("blob").to_pylist()]
         sizes = [len(x[0]) for x in got]
-        code = answer_entries(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]))
+        code = answer_entries(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]), wide)
         ends = np.cumsum(sizes)
         yield _batch(rows.column("chunk").to_pylist(), [bucket] * len(got), [zstandard.compress(code[e - s : e].tobytes(), 3) for e, s in zip(ends, sizes, strict=True)])
 
