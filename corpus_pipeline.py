@@ -20,12 +20,19 @@ from tidelog.llm.op5_suffix_dedup import remove_repeats
 from tidelog.llm.op6_jaccard_join import keep_one
 from tidelog.llm.op7_decontamination import contamination
 
+#: Least fit of a kept document: the log-likelihood of an n-gram in the mixture of languages, on
+#: average, over that of n-grams drawn evenly.
+LEAST_FIT = 0.0
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: those without text or a letter (`und`).
+    """Drops documents in no language: those without a letter, and those whose n-grams the
+    mixture of languages explains worse than chance (lang_fit below LEAST_FIT), such as
+    texts in unknown scripts.
 
-    The model learns from the documents that carry a label."""
-    return identify(docs, train(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    The model learns from the documents that carry a label; without any, all documents that
+    have a letter stay."""
+    return identify(docs, train(docs), fit=True).where(F.col("lang_fit") >= LEAST_FIT).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

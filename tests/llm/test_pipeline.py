@@ -111,3 +111,17 @@ def test_odd_rows_pass_every_stage(spark):
         assert rows
         if name != "sequences":
             docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_language_decides_by_the_mixture(spark):
+    docs = small(spark)
+    rng = np.random.default_rng(3)
+    noise = " ".join("".join(rng.choice(list("bcdfghjkqxzvwp"), 7)) for _ in range(60))
+    extra = spark.createDataFrame([(9001, "Это русский текст для проверки", None, "s", 0), (9002, noise, None, "s", 0), (9003, "中文 文本 这是 一个 测试 文档", None, "s", 0)], docs.schema)
+    got = STAGES["language"](spark, docs.union(extra), "/root/testdata/sf0.001")
+    assert by_id(plain(got)) == by_id(plain(docs))
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "A clean text.", None), (2, "12 !", None), (3, None, None), (4, "né", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in STAGES["language"](spark, docs, "/root/testdata/sf0.001").collect()} == {1, 4}

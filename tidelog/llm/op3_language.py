@@ -73,10 +73,12 @@ class Model:
         self.table = np.log(c / c.sum(0)) if len(langs) else c
         self.words: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)))
+        self.facts = np.zeros((1024, 2))
         self.used = 0
 
     def learn(self, tokens: list[str]) -> None:
-        """Gives new tokens their places in rows; -1: no letter."""
+        """Gives new tokens their places in rows and facts (number of n-grams, log-likelihood in
+        the best language); -1: no letter."""
         words = [letters(t) for t in tokens]
         have = [i for i, w in enumerate(words) if w]
         self.words.update(dict.fromkeys(tokens, -1))
@@ -87,6 +89,8 @@ class Model:
         x = np.stack([np.bincount(owner, self.table[slot, k], len(have)) for k in range(len(self.langs))], 1)
         while at + len(have) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[at : at + len(have)] = np.stack([np.bincount(owner, minlength=len(have)), x.max(1)], 1)
         self.rows[at : at + len(have)] = np.exp(np.maximum(x - x.max(1, keepdims=True), -60))
         self.words.update(zip([tokens[i] for i in have], range(at, at + len(have)), strict=True))
         self.used = at + len(have)
@@ -104,10 +108,13 @@ class Model:
                 break
         return p, float(n @ np.log(np.maximum(e @ p, 1e-300)))
 
-    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
-        """Language, score and the shares of the selected set, for each text."""
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float], float | None]]:
+        """Language, score, the shares of the selected set and the fit, for each text.
+
+        The fit is the mixture's log-likelihood of an n-gram, on average, less that of n-grams
+        drawn evenly from all slots; None without a letter, 0 if no language is known."""
         if not self.langs:
-            return [("und", 0.0, {})] * len(texts)
+            return [("und", 0.0, {}, 0.0 if any(map(letters, (t or "").split())) else None) for t in texts]
         tokens = [t.split() if t else [] for t in texts]
         new = list(set(chain.from_iterable(tokens)) - self.words.keys())
         if len(self.words) + len(new) > CACHED:
@@ -117,16 +124,16 @@ class Model:
         self.learn(new)
         return [self._predict(Counter(t)) for t in tokens]
 
-    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
+    def predict(self, text: str | None) -> tuple[str, float, dict[str, float], float | None]:
         return self.predict_all([text])[0]
 
-    def _predict(self, counts: Counter) -> tuple[str, float, dict[str, float]]:
+    def _predict(self, counts: Counter) -> tuple[str, float, dict[str, float], float | None]:
         at = np.fromiter(map(self.words.__getitem__, counts), np.int64, len(counts))
         n = np.fromiter(counts.values(), float, len(counts))
         ok = at >= 0
         if not ok.any():
-            return "und", 0.0, {}
-        e, n = self.rows[at[ok]], n[ok]
+            return "und", 0.0, {}, None
+        e, n, facts = self.rows[at[ok]], n[ok], self.facts[at[ok]]
         p, most = self.shares(e, n)
         order = np.argsort(-p, kind="stable")
         cost = PENALTY * np.log(n.sum() + 1)
@@ -139,7 +146,9 @@ class Model:
             if got - k * cost > value:
                 best, chosen, value = order[:k], q, got - k * cost
         top = int(np.argmax(chosen))
-        return self.langs[best[top]], float(min(max(chosen[top], 0.0), 1.0)), {self.langs[i]: float(x) for i, x in zip(best, chosen, strict=True)}
+        grams, most = n @ facts
+        fit = (value + len(best) * cost + most) / grams + np.log(SLOTS)
+        return self.langs[best[top]], float(min(max(chosen[top], 0.0), 1.0)), {self.langs[i]: float(x) for i, x in zip(best, chosen, strict=True)}, float(fit)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
@@ -173,14 +182,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, counts)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", fit: bool = False) -> DataFrame:
     """`docs` with lang_pred, score and lang_shares (the selected set's shares) added.
 
     A null text, or one without a letter, is `und` with score 0 and no shares; so is every
     text if the model knows no language.  Texts in unknown letters get the first
-    language and an equal share.  Columns of these names in `docs` are replaced.
+    language and an equal share.  With `fit`, lang_fit says how well the mixture explains a
+    text (see predict_all): below 0, worse than n-grams by chance.  Columns of these names in
+    `docs` are replaced.
     """
-    rest = docs.drop("lang_pred", "score", "lang_shares")
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "lang_shares": pa.map_(pa.string(), pa.float64())} | ({"lang_fit": pa.float64()} if fit else {})
+    rest = docs.drop(*kinds)
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table))
     columns, text_at = rest.columns, rest.columns.index(text_col)
 
@@ -190,14 +202,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             if m is None:
                 m = Model([], np.zeros((SLOTS, 0)))
                 m.langs, m.table = sent.value
-                m.rows = np.zeros((1024, len(m.langs)))
+                m.rows, m.facts = np.zeros((1024, len(m.langs))), np.zeros((1024, 2))
             texts = b.column(text_at).to_pylist()
             got = [x for lo in range(0, len(texts), 512) for x in m.predict_all(texts[lo : lo + 512])]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([list(x[2].items()) for x in got], pa.map_(pa.string(), pa.float64()))],
-                names=[*b.schema.names, "lang_pred", "score", "lang_shares"],
-            )
+            made = [[x[0] for x in got], [x[1] for x in got], [list(x[2].items()) for x in got], [x[3] for x in got]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(made, kinds.values()))], names=[*b.schema.names, *kinds])
 
     rest_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    out = rest.mapInArrow(predict, f"{rest_schema}, lang_pred string, score double, lang_shares map<string,double>")
-    return out.select(*columns, "lang_pred", "score", "lang_shares")
+    out = rest.mapInArrow(predict, f"{rest_schema}, lang_pred string, score double, lang_shares map<string,double>{", lang_fit double" if fit else ""}")
+    return out.select(*columns, *kinds)
