@@ -50,3 +50,32 @@ def test_odd(spark):
     assert len(rows) == odd(spark).count() and all(r["licenses"] == [] and r["category"] == "none" for r in rows)
     assert op4.scan_licenses(empty(spark)).count() == 0 and "extra" in op4.scan_licenses(odd(spark)).columns
     assert op4.scan_licenses(small(spark)).where("n_unknown > 0").count() == 0
+
+
+def scanned(text):
+    spans = op4.sentences(text.encode())
+    return op4.recognise([s[2] for s in spans], op4.joins(text.encode(), spans))
+
+
+BSD = [SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+OWNER = SENTENCES["bsd-endorse"].replace("the copyright holder", "Example Labs")
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("\n".join([*BSD, OWNER]), ["BSD-3-Clause"]),
+        ("Copyright 2020 Example Labs.\nAll rights reserved.\n\n" + "\n".join([*BSD, OWNER]), ["BSD-3-Clause"]),
+        (SENTENCES["apache-grant"] + "\nAll rights reserved.", ["Apache-2.0"]),
+        ("All rights reserved.\nSome other prose.\nReleased under the MIT License.", ["LicenseRef-Proprietary", "MIT"]),
+        ("All rights reserved.\n" + SENTENCES["mit-notice"], ["LicenseRef-Proprietary"]),
+        (SENTENCES["bsd-source"].join(["", ""]) + "\n" + SENTENCES["zlib-grant"], ["Zlib"]),
+        (SENTENCES["bsl-grant"], ["BSL-1.0"]),
+        (SENTENCES["epl2-notice"], ["EPL-2.0"]),
+        (SENTENCES["epl1-notice"], ["EPL-1.0"]),
+        ("Licensed under the Artistic License 2.0.", ["Artistic-2.0"]),
+        (SENTENCES["isc-grant"].replace(" ", " " * 3000), ["ISC"]),
+    ],
+)
+def test_real_texts(text, want):
+    assert scanned(text) == want

@@ -23,12 +23,17 @@ LICENCES = [
     ("LGPL-2.1", "copyleft", ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl v2 1", "lgpl v2 1", "lgplv2 1", "lgpl 2 1"]),
     ("LGPL-3.0", "copyleft", ["gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgpl v3", "lgplv3", "lgpl 3 0"]),
     ("AGPL-3.0", "copyleft", ["gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agpl v3", "agplv3", "agpl 3 0"]),
+    ("Zlib", "permissive", ["zlib"]),
+    ("BSL-1.0", "permissive", ["boost software license version 1 0", "boost software license 1 0", "bsl 1 0"]),
+    ("EPL-1.0", "copyleft", ["eclipse public license version 1 0", "eclipse public license v 1 0", "eclipse public license v1 0", "eclipse public license 1 0", "epl 1 0"]),
+    ("EPL-2.0", "copyleft", ["eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license v2 0", "eclipse public license 2 0", "epl 2 0"]),
+    ("Artistic-2.0", "permissive", ["artistic license version 2 0", "artistic license 2 0", "artistic 2 0"]),
     ("LicenseRef-Proprietary", "restricted", []),
 ]
 
 # How notices begin.
-NOTICES = ["licensed under", "released under", "distributed under", "available under", "licensed under the terms of", "released under the terms of", "distributed under the terms of"]
-SUBJECTS = ["this work is", "this program is", "this software is", "this project is", "this file is", "this document is", "this text is", "this code is"]
+NOTICES = ["licensed under", "released under", "distributed under", "available under", "licensed under the terms of", "released under the terms of", "distributed under the terms of", "made available under the terms of"]
+SUBJECTS = ["this work is", "this program is", "this software is", "this project is", "this file is", "this document is", "this text is", "this code is", "this program and the accompanying materials are"]
 
 # Sentences of licence texts, by identifier.
 SENTENCES = {
@@ -47,9 +52,19 @@ SENTENCES = {
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense-grant": "This is free and unencumbered software released into the public domain.",
+    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-grant": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "reserved": "All rights reserved.",
 }
 
+# Normalised sentences that name an owner, in at most OWNER words.
+OWNER = 16
+OWNED = {"bsd-endorse": r"neither the name(?:s)? of {owner} nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission"}
+
 # Rules in the order that they are tried: licence, and identifiers in a row.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
@@ -66,6 +81,12 @@ RULES = [
     ("GPL-2.0", ["gpl2-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
     ("Unlicense", ["unlicense-grant"]),
+    ("AGPL-3.0", ["agpl3-grant"]),
+    ("LGPL-3.0", ["lgpl3-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("EPL-1.0", ["epl1-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
     ("LicenseRef-Proprietary", ["reserved"]),
 ]
 
@@ -92,6 +113,12 @@ def sentence_table() -> dict[bytes, str]:
     return table
 
 
+def owned() -> list[tuple[str, re.Pattern[bytes]]]:
+    """Identifiers and patterns of the sentences that name an owner."""
+    owner = rf"[0-9a-z]+(?: [0-9a-z]+){{0,{OWNER - 1}}}?"
+    return [(name, re.compile(p.replace("{owner}", owner).encode())) for name, p in OWNED.items()]
+
+
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     """RULES, then each notice alone."""
     return [(name, tuple(ids)) for name, ids in RULES] + [(name, (f"notice:{name}",)) for name, _, _ in LICENCES]
