@@ -50,23 +50,47 @@ def near_copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
 
 
-@pytest.mark.parametrize("table", ["small", "odd", "near", "empty"])
-def test_components(spark, table, monkeypatch):
-    df = {"small": small, "odd": odd, "near": near_copies, "empty": empty}[table](spark)
-    if table == "near":
-        monkeypatch.setattr(op6, "BLOCK", 64)
-    got = op6.jaccard_components(df, percent=85, shingle=4, chunk_bytes=300_000)
+def common_lines(spark):
+    """Documents made wholly of lines that many documents share: cells that no rare shingle thins out."""
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(14)]
+    rows = [(i, " ".join(lines[k] for k in rng.permutation(14)[: rng.integers(5, 14)])) for i in range(400)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("table", ["small", "odd", "near", "lines", "empty"])
+@pytest.mark.parametrize("leaf", [256, 16])
+def test_components(spark, table, leaf):
+    df = {"small": small, "odd": odd, "near": near_copies, "lines": common_lines, "empty": empty}[table](spark)
+    got = op6.jaccard_components(df, percent=85, shingle=4, chunk_bytes=300_000, leaf=leaf)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(texts(df))
+
+
+def test_cells_cut_by_size(spark, monkeypatch):
+    df = common_lines(spark)
+    monkeypatch.setattr(op6, "DEPTH", 0)  # no pivots: every large cell is cut by size
+    got = op6.jaccard_components(df, percent=85, shingle=4, leaf=16)
     assert sorted(map(tuple, got.collect()), key=str) == brute(texts(df))
 
 
+def test_shared_passage_is_no_cell(spark):
+    """One passage in every document, each with enough words of its own: no cell holds two."""
+    common = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op6.jaccard_components(df, percent=85, shingle=4).where("doc_id = component_id")
+    assert got.count() == 3000
+
+
 def test_region_pairs():
     rng = np.random.default_rng(5)
     heads = rng.poisson(8, (30, 64))
     x = np.concatenate([rng.poisson(rng.choice([3, 8, 20]), 64)[None] for _ in range(400)] + [np.maximum(heads[rng.integers(0, 30, 600)] + rng.integers(-1, 2, (600, 64)) * (rng.random((600, 64)) < 0.2), 0)])
     size = x.sum(1)
-    i, j, d = op6.region_pairs(x.astype(np.uint8), size, 85, leaf=50)
+    label = rng.integers(0, 500, len(x))
+    i, j, d = op6.region_pairs(x.astype(np.uint8), size, size, label, 85)
     l1 = np.abs(x[:, None, :].astype(np.int16) - x[None, :, :]).sum(2)
-    a, b = np.nonzero(op6.allowed(size[:, None], size[None, :], l1, 85))
+    a, b = np.nonzero(op6.allowed(size[:, None], size[None, :], l1, 85) & (label[:, None] != label[None, :]))
     assert {*zip(i.tolist(), j.tolist())} == {(p, q) for p, q in zip(a.tolist(), b.tolist()) if p < q}
     assert (d == l1[i, j]).all()
     pick = op6.spanning_forest(i, j, d, np.arange(len(x)))

@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share; where none is named, a local one, and only
+    if the executors run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,6 +54,24 @@ class Saved:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Chunks(Saved):
+    """A chunk store (see chunks): a table of the session's catalog, its files in the shared folder."""
+
+    def __init__(self, made: DataFrame, label: str):
+        self.spark = made.sparkSession
+        self.name = f"tidelog_{label}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        made.write.bucketBy(shuffle_partitions(self.spark), "chunk").option("path", self.path).option("compression", "uncompressed").format("parquet").saveAsTable(self.name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 def save(df: DataFrame, label: str) -> Saved:
     return Saved(df, label)
 
@@ -215,14 +236,13 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def chunks(df: DataFrame, size: int, text: str, label: str) -> DataFrame:
+def chunks(df: DataFrame, size: int, text: str, label: str) -> Chunks:
     """Rows in chunks of about `size` bytes of text, as a table bucketed by chunk in the
     shared folder: chunk, n_rows, n_bytes, blob (an Arrow stream of the rows, compressed).
 
     A written chunk never changes, so later passes may refer to its rows by place; joins
     by chunk leave the table where it is and move only the other side.
     """
-    spark = df.sparkSession
     at = df.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +270,7 @@ def chunks(df: DataFrame, size: int, text: str, label: str) -> DataFrame:
         if held:
             yield row()
 
-    name = f"tidelog_{label}_{uuid.uuid4().hex}"
-    made = df.mapInArrow(cut, "chunk long, n_rows long, n_bytes long, blob binary")
-    made.write.bucketBy(shuffle_partitions(spark), "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return Chunks(df.mapInArrow(cut, "chunk long, n_rows long, n_bytes long, blob binary"), label)
 
 
 def read_chunk(blob: bytes) -> pa.Table:

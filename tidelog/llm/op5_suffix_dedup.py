@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     store = chunks(docs, chunk_bytes, text_col, "texts")
-    total = store.agg(F.sum("n_bytes")).first()[0] or 0
+    total = store.df.agg(F.sum("n_bytes")).first()[0] or 0
     bits = power_of_two(total / BUCKET_BYTES, 2048, 1 << 20).bit_length() - 1
     part = "chunk long, bucket int, blob binary"
 
@@ -224,9 +224,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def with_answers(answers: DataFrame) -> DataFrame:
         lists = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-        return store.select("chunk", "blob").join(lists, "chunk", "left")
+        return store.df.select("chunk", "blob").join(lists, "chunk", "left")
 
-    answers = by_bucket(store.select("chunk", "blob").mapInArrow(send, part), answer)
+    answers = by_bucket(store.df.select("chunk", "blob").mapInArrow(send, part), answer)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bucket -1: what the chunk removes whole, and where its asked contexts stand.

@@ -12,14 +12,19 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _POWERS: dict[int, np.ndarray] = {}
+#: Most powers of a base that a worker keeps.
+KEPT = 1 << 21
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of a base, from 0 on."""
     held = _POWERS.get(base)
     if held is None or len(held) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        held = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+        held = np.cumprod(steps, dtype=np.uint64)
+        if len(held) <= KEPT:
+            _POWERS[base] = held
     return held
 
 
