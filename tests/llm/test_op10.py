@@ -36,11 +36,31 @@ def made(seed, n=300, dims=16):
 def test_against_all_pairs(spark, group):
     rows = made(1)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    for clash in ("uid", "vec", "node", "copies", "g", "far", "part", "pair"):
+        df = df.withColumn(clash, df.vec_id)
     got = sorted(map(tuple, op10.near_duplicates(df, 0.9, group=group).collect()))
     assert got == brute(rows, 0.9)
     assert sum(r[1] for r in got) > 100
 
 
+def test_extreme_norms(spark):
+    """Norms whose squares overflow or vanish in double precision."""
+    a, b = [3.0, 4.0, 0.0], [0.0, 4.0, 3.0]
+    rows = [(k, [x * s for x in v]) for k, (v, s) in enumerate([(a, 1.0), (a, 1e200), (a, 1e-200), (b, 1e250), (b, 1e-250), (b, -1e200), (a, 5e-324)])]
+    got = sorted(map(tuple, op10.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 3, 0)]
+
+
+@pytest.mark.parametrize("group", [6144, 100])
+def test_dense_group(spark, group):
+    """A third of all rows in one ball: counted whole, not pair by pair."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(400, 8)) * 0.01, rng.normal(size=(300, 8)), np.tile(rng.normal(size=(1, 8)), (50, 1))])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = sorted(map(tuple, op10.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), group=group).collect()))
+    assert got == brute(rows, 0.95)
+
+
 def test_dual_traversal_alone():
     x = op10.unit_rows(np.array([v for _, v in made(2)[:600]]))
     t = op10.CoverTree(x)
@@ -49,5 +69,22 @@ def test_dual_traversal_alone():
     assert got == want
 
 
-def test_empty(spark):
+def test_cover_tree():
+    """Nested, separated and covering: what the bounds rest on."""
+    x = op10.unit_rows(np.array([v for _, v in made(3)[:600]]))
+    t = op10.CoverTree(x)
+    assert sorted(t.order.tolist()) == list(range(600))
+    for k in range(len(t.centre)):
+        members = t.order[t.lo[k] : t.hi[k]]
+        assert t.centre[k] in members and (op10.chord(x[members] @ x[t.centre[k]]) <= t.radius[k] + 1e-7).all()
+        kids = np.arange(t.kid_lo[k], t.kid_hi[k])
+        if len(kids):
+            assert t.centre[k] in t.centre[kids] and (t.hi - t.lo)[kids].sum() == len(members)
+            c = op10.chord(x[t.centre[kids]] @ x[t.centre[kids]].T) + 9 * np.eye(len(kids))
+            assert c.min() > t.radius[kids].max() - 1e-3
+
+
+def test_empty_and_bad_only(spark):
     assert op10.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    rows = [(1, None), (2, [0.0]), (2, [float("inf")])]
+    assert sorted(map(tuple, op10.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())) == [(1, 0, 1), (2, 0, 2), (2, 0, 2)]
