@@ -29,8 +29,9 @@ from tidelog.llm.common import by_group, components, local_forest, save, task_id
 #: Most classes that the tree of centres is made from, most bytes of a group's vectors in
 #: double precision, fewest groups that a table is dealt into (if it has as many classes).
 CENTRE_SAMPLE, GROUP_BYTES, LEAST_GROUPS = 4096, 8 << 20, 4
-#: Smallest radius of a level, most vectors of a leaf, and radius of a leaf of several.
-LEAST_RADIUS, LEAF, SNUG = 1 / 64, 4, 1 / 4
+#: Largest radius of a level (two balls of radius 1 are never far enough apart to be told
+#: from each other on a sphere), smallest, most vectors of a leaf, and radius of a leaf of several.
+MOST_RADIUS, LEAST_RADIUS, LEAF, SNUG = 1 / 2, 1 / 64, 4, 1 / 4
 #: Rounding allowed for in bounds; closer cosines than this to the threshold are taken anew.
 SLACK = 1e-7
 #: Centres of a tile, numbers that are held at once for pairs, and links.
@@ -76,7 +77,7 @@ def net(x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CoverTree:
-    """Nested nets over unit vectors, radii halving from 1; node 0 is the root.
+    """Nested nets over unit vectors, radii halving from MOST_RADIUS; node 0 is the root.
 
     centre, radius (the farthest member), the range lo:hi of `order` that holds a node's members,
     and its children as a range of node numbers, empty in a leaf: a vector alone, at most
@@ -88,7 +89,7 @@ class CoverTree:
         self.order = np.arange(n)
         made = [(np.zeros(1, np.int64), np.full(1, float(chord((x @ x[0]).min())) if n else 0.0), np.zeros(1, np.int64), np.full(1, n))]
         kid_lo, kid_hi = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        count, todo = 1, [(0, 0, 0, n, made[0][1][0], 1.0)]
+        count, todo = 1, [(0, 0, 0, n, made[0][1][0], MOST_RADIUS)]
         spans = {}
         while todo:
             node, centre, lo, hi, far, r = todo.pop()
