@@ -79,3 +79,69 @@ OWNER = SENTENCES["bsd-endorse"].replace("the copyright holder", "Example Labs")
 )
 def test_real_texts(text, want):
     assert scanned(text) == want
+
+
+def paragraphs(*keys, head=""):
+    """A licence file: a heading, a copyright line, and paragraphs of lines of about 60 characters."""
+    import textwrap
+
+    body = "\n\n".join("\n".join(textwrap.wrap(" ".join(SENTENCES[k] for k in keys_), 60)) for keys_ in keys)
+    return f"{head}\n\nCopyright (c) 2020 A. Author\n\n{body}\n"
+
+
+#: Files and file headers in their usual form, each with exactly its licence and category.
+FILES = [
+    (paragraphs(["mit-grant"], ["mit-notice"], ["mit-warranty", "mit-liability"], head="MIT License"), "MIT", "permissive"),
+    (paragraphs(["isc-grant"], ["isc-warranty"], head="ISC License"), "ISC", "permissive"),
+    (paragraphs(["bsd-grant"], ["bsd-source"], ["bsd-binary"], ["bsd-disclaimer", "bsd-liability"], head="BSD 2-Clause License"), "BSD-2-Clause", "permissive"),
+    (paragraphs(["bsd-grant"], ["bsd-source"], ["bsd-binary"], ["bsd-endorse"], ["bsd-disclaimer", "bsd-liability"]).replace("A. Author", "A. Author\nAll rights reserved."), "BSD-3-Clause", "permissive"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + SENTENCES["apache-terms"], "Apache-2.0", "permissive"),
+    (paragraphs(["apache-grant"], ["apache-copy"]) + "\n    http://www.apache.org/licenses/LICENSE-2.0\n", "Apache-2.0", "permissive"),
+    (paragraphs(["gpl3-grant"], ["gpl-warranty"], head="prog - does things"), "GPL-3.0", "copyleft"),
+    (paragraphs(["gpl2-grant"], ["gpl-warranty"]), "GPL-2.0", "copyleft"),
+    (paragraphs(["lgpl21-grant"], ["lgpl-warranty"]), "LGPL-2.1", "copyleft"),
+    (paragraphs(["lgpl3-grant"], ["lgpl-warranty"]), "LGPL-3.0", "copyleft"),
+    (paragraphs(["agpl3-grant"], ["gpl-warranty"]), "AGPL-3.0", "copyleft"),
+    (paragraphs(["mpl-notice"]), "MPL-2.0", "copyleft"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", "GPL-3.0", "copyleft"),
+    ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\nPreamble", "LGPL-2.1", "copyleft"),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "MPL-2.0", "copyleft"),
+]
+
+
+def test_files(spark):
+    rows = [(i, text) for i, (text, _, _) in enumerate(FILES)]
+    got = {r["i"]: (r["licenses"], r["category"]) for r in op4.scan_licenses(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert [got[i] for i in range(len(FILES))] == [([x], c) for _, x, c in FILES]
+
+
+def brute(text):
+    """Every stretch from a sentence's or line's start to one's end, looked up as it stands:
+    at each place the longest, from left to right; then the rules, one place after the other."""
+    table = sentence_table()
+    clean = re.sub(r"(?<=[0-9vV])\.(?=[0-9 ])(?! *[A-Z])", " ", text.replace("\x01", " "))
+    clean = re.sub(r"(?<![Ii]dentifier):(?=\s)", ".", clean)
+    clean = re.sub(r"\n[ \r\t]*\n", lambda m: ";" * len(m[0]), clean)
+    bounds = [0, *(m.end() for m in re.finditer(r"[.!?;\n]", clean)), len(clean)]
+    names, done = [], 0
+    for k, lo in enumerate(bounds):
+        if lo < done:
+            continue
+        for hi in reversed(bounds[k + 1 : k + 40]):
+            name = table.get(normal(clean[lo:hi]).encode())
+            if name and normal(clean[lo:hi]) and normal(re.split(r"[.!?;\n]", clean[lo:hi])[0] or "x"):
+                names.append(name)
+                done = hi
+                break
+    return names
+
+
+def test_sentences_against_every_stretch(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in df.where("length(text) < 1500").select("text").collect()] + [t for t, _, _ in FILES]
+    n = 0
+    for t in texts:
+        got = [s[2] for s in op4.sentences(t.encode())]
+        assert got == brute(t), t
+        n += len(got)
+    assert n > 40

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from tidelog.llm.common import text_or_empty
 from tidelog.llm.licences import CATEGORY, OWNER, owned, rules, sentence_table
 
-#: Sentence ends become 0x01, new lines stay, other bytes that are no ASCII letter or digit are spaces.
-CLEAN = bytes(1 if chr(b) in ".!?;" else 10 if b == 10 else b + 32 if 65 <= b <= 90 else b if chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256))
+#: Sentence ends become 0x01 (blank lines are so before), new lines stay, other bytes that are no ASCII letter or digit are spaces.
+CLEAN = bytes(1 if chr(b) in ".!?;\x01" else 10 if b == 10 else b + 32 if 65 <= b <= 90 else b if chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256))
 INSIDE_NUMBER = re.compile(rb"(?<=[0-9vV])\.(?=[0-9 ])(?! *[A-Z])")
 COLON = re.compile(rb"(?<![Ii]dentifier):(?=\s)")
 BLANK = re.compile(rb"\n[ \r\t]*\n")
@@ -66,7 +66,8 @@ def sentences(text: bytes) -> list[tuple[int, int, str]]:
 
 
 def cleaned(text: bytes) -> bytes:
-    return BLANK.sub(lambda m: b"\x01" * len(m[0]), COLON.sub(b".", INSIDE_NUMBER.sub(b" ", text))).translate(CLEAN)
+    text = COLON.sub(b".", INSIDE_NUMBER.sub(b" ", text.replace(b"\x01", b" ")))
+    return BLANK.sub(lambda m: b"\x01" * len(m[0]), text).translate(CLEAN)
 
 
 def recognise(names: list[str], joined: list[bool] | None = None) -> list[str]:
