@@ -10,6 +10,7 @@ The document's language is the one of the largest share in that set, the score i
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix
+from tidelog.llm.common import claim, mix
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that a regular expression's words hold beside letters (Unicode categories N but Nd), such as ½.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W_{re.escape(NUMBERS)}]+")
 #: Hashed slots of n-grams of bytes for a language, n-gram sizes, additive smoothing.
 SLOTS, SIZES, SMOOTH = 1 << 15, (2, 3, 4), 0.5
 #: Most labelled documents of a language that training reads, in expectation.
@@ -61,7 +64,8 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether the CRC-32 of an id's text leaves 1 modulo 3; false without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 class Model:
@@ -200,6 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", fit: bool =
         m = None
         for b in batches:
             if m is None:
+                claim("language")
                 m = Model([], np.zeros((SLOTS, 0)))
                 m.langs, m.table = sent.value
                 m.rows, m.facts = np.zeros((1024, len(m.langs))), np.zeros((1024, 2))
