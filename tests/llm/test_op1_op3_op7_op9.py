@@ -1,4 +1,3 @@
-import hashlib
 import re
 import zlib
 
@@ -91,8 +90,52 @@ def test_contamination(spark, table, broadcast):
     assert sorted(map(tuple, op7_decontamination.contamination(df, items.where("false"), broadcast_bytes=broadcast).select(*cols).collect()), key=str) == brute_contamination(texts(df), [])
 
 
-def test_digest():
-    assert op7_decontamination.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_contamination_with_common_windows(spark, broadcast):
+    """A short item and a window that every document holds; own names among the columns."""
+    rows = [(i, f"common phrase here {'x ' * (i % 5)}" + " ".join(f"w{k}" for k in range(i % 3, 14))) for i in range(300)]
+    items = [(1, "common phrase"), (2, " ".join(f"w{k}" for k in range(14))), (3, "never seen"), (4, "COMMON")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for clash in ("_key", "_row", "key", "print", "window", "hit", "held", "_hit", "_held", "item", "near"):
+        df = df.withColumn(clash, F.lit(7))
+    got = op7_decontamination.contamination(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast)
+    assert {*df.columns} < {*got.columns}
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "items").collect()), key=str) == brute_contamination(rows, items)
+
+
+def test_other_tokenizers(spark):
+    """A tokenizer whose pre-tokens are not known to start at the cuts gets whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    df = small(spark)
+    want = sorted((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in texts(df))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in op1_token_counts.token_counts(df, tokenizer=path).collect()) == want
+    assert bpe.cuts_hold(Tokenizer.from_file(bpe.default_path())) and not bpe.cuts_hold(tok)
+
+
+def test_caches_stay_in_their_bytes():
+    b = bpe.Bpe(bpe.default_path(), limit=20_000)
+    whole = [b.encode_whole(f"word{i} other{i}  two") for i in range(500)]
+    for k in range(0, 500, 50):
+        some = [f"word{i} other{i}  two" for i in range(k, k + 50)]
+        assert b.n_tokens(some) == [len(x) for x in whole[k : k + 50]]
+        assert [len(x) // 4 for x in b.id_bytes(some)] == [len(x) for x in whole[k : k + 50]]
+        assert all(0 <= b.held[n] <= b.limit and len(getattr(b, n)) * bpe.ENTRY <= b.limit for n in b.held)
+
+
+def test_letters():
+    """Text without a letter (Unicode category L) is `und`, whatever numbers it holds."""
+    import unicodedata
+
+    assert [op3_language.letters(t) for t in ("½²¾", "Ⅳ", "12", "_", "x²y", "Né3à")] == ["", "", "", "", " x y ", " né à "]
+    assert all(bool(op3_language.letters(c)) == (unicodedata.category(c)[0] == "L") for c in map(chr, range(0x20, 0x3000)))
+
+
+def test_held_out_without_an_id(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,)], "doc_id long").select("doc_id", op3_language.held_out("doc_id").alias("h")).collect()
+    assert [(r["doc_id"], r["h"]) for r in rows] == [(i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i in (None, 1, 2, 3, 4)]
 
 
 @pytest.mark.parametrize("table", TABLES)

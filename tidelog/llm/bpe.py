@@ -9,12 +9,16 @@ Texts that hold the string of a special token go to the library whole.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidelog.llm.common import cache, claim
+
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Stands for a piece whose ends are no safe cuts; joining or adding it fails.
 BAD = ""
@@ -38,14 +42,29 @@ def is_bad(piece: str) -> bool:
     return piece in ("", "\n") or piece[-1].isspace() or piece[piece[0] == "\n"].isspace()
 
 
+#: Bytes that an entry of a cache takes beside its characters and ids.
+ENTRY = 160
+
+
+def cuts_hold(tok: Tokenizer) -> bool:
+    """Whether a tokenizer's pre-tokens start at the cuts: the byte-level pre-tokenizer with its own
+    pattern, alone, no space put before a text, no normaliser, no truncation or padding."""
+    made = json.loads(tok.to_str())
+    before = made.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(plain and (made.get("model") or {}).get("type") == "BPE" and not any(made.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 class Bpe:
     """Piece caches over one tokenizer file.
 
-    `limit` bounds each cache; a full one keeps its short pieces, or starts anew from
-    `base`, the first tier that it was given."""
+    `limit` bounds the bytes of each cache, about; a full one keeps its short pieces, or starts
+    anew from `base`, the first tier that it was given.  Pieces are only known to stand
+    alone under the byte-level pattern without a normaliser; texts go to any other tokenizer whole."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 64 << 20):
         self.tok = Tokenizer.from_file(path)
+        self.cuts = cuts_hold(self.tok)
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = limit
         self.sizes = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
@@ -56,6 +75,7 @@ class Bpe:
         self.counts: dict[str, int | str] = {}
         self.base: dict[str, int] = {}
         self.odd: dict[str, bytes] = {}
+        self.held = {"ids": 0, "counts": 0, "odd": 0}  # bytes
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -88,13 +108,32 @@ class Bpe:
 
     def _odd(self, text: str) -> bytes:
         """Ids of a text where white space runs: cut at its safe spaces only."""
-        if len(self.odd) > self.limit:
-            self.odd.clear()
         cut = SAFE.split(text)
         cut[1:] = [" " + p for p in cut[1:]]
-        for p in set(cut) - self.odd.keys():
-            self.odd[p] = np.array(self.encode_whole(p), np.uint32).tobytes()
-        return b"".join(map(self.odd.__getitem__, cut))
+        new = set(cut) - self.odd.keys()
+        made = {p: np.array(self.encode_whole(p), np.uint32).tobytes() for p in new}
+        out = b"".join(made[p] if p in made else self.odd[p] for p in cut)
+        self._keep("odd", made)
+        return out
+
+    def _keep(self, name: str, made: dict) -> None:
+        """Puts new entries into a cache, after making room."""
+        store = getattr(self, name)
+
+        def size(entries: dict) -> int:
+            return sum(map(len, entries)) + sum(len(x) for x in entries.values() if isinstance(x, bytes)) + ENTRY * len(entries)
+
+        more = size(made)
+        if self.held[name] + more > self.limit:
+            kept = (self.base if name == "counts" else {}) or {k: v for k, v in store.items() if len(k) < 7}
+            store.clear()
+            self.held[name] = 0
+            if (own := size(kept)) + more <= self.limit:
+                store.update(kept)
+                self.held[name] = own
+        if self.held[name] + more <= self.limit:
+            store.update(made)
+            self.held[name] += more
 
     def _made(self, new: set[str], cache: dict, put: Callable) -> dict:
         """Cache entries of new pieces.  A full stop or comma after a Latin letter is a
@@ -108,8 +147,9 @@ class Bpe:
             made[p] = BAD if head is BAD else head + tails[p[-1]]
         return made
 
-    def _all(self, texts: list[str], cache: dict, put: Callable, join: Callable, else_: Callable) -> list:
-        plain = [bool(t) and not any(s in t for s in self.special) for t in texts]
+    def _all(self, texts: list[str], name: str, put: Callable, join: Callable, else_: Callable) -> list:
+        cache = getattr(self, name)
+        plain = [bool(t) and self.cuts and not any(s in t for s in self.special) for t in texts]
         cut = [pieces(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         get = cache.get
         found = [list(map(get, c)) for c in cut]
@@ -120,11 +160,7 @@ class Bpe:
             for c, f, g in zip(cut, found, gaps, strict=True):
                 for i in g:
                     f[i] = made[c[i]]
-            if len(cache) + len(made) > self.limit:
-                kept = self.base or {k: v for k, v in cache.items() if len(k) < 7}
-                cache.clear()
-                cache.update(kept if len(kept) + len(made) <= self.limit else {})
-            cache.update(made)
+            self._keep(name, made)
         out = []
         for t, ok, f in zip(texts, plain, found, strict=True):
             try:
@@ -136,22 +172,23 @@ class Bpe:
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         skip = 4 * self.newline
-        return self._all(texts, self.ids, lambda made: made, lambda f: b"".join(f)[skip:], lambda raw: raw)
+        return self._all(texts, "ids", lambda made: made, lambda f: b"".join(f)[skip:], lambda raw: raw)
 
     def n_tokens(self, texts: list[str]) -> list[int]:
         """Token counts only: lengths are kept instead of ids."""
-        return self._all(texts, self.counts, lambda made: {p: x if x is BAD else len(x) // 4 for p, x in made.items()}, lambda f: sum(f) - self.newline, lambda raw: len(raw) // 4)
+        return self._all(texts, "counts", lambda made: {p: x if x is BAD else len(x) // 4 for p, x in made.items()}, lambda f: sum(f) - self.newline, lambda raw: len(raw) // 4)
 
 
 _LOADED: dict[tuple[str, str], Bpe] = {}
+cache(_LOADED.clear)
 
 
 def loaded(path: str, tier: str = "") -> Bpe:
-    """One encoder for each worker process, tokenizer file and base tier."""
+    """A worker's encoder for a tokenizer file and base tier; it keeps one."""
+    claim("bpe")
     key = (path, tier)
     if key not in _LOADED:
-        import os
-
+        _LOADED.clear()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _LOADED[key] = Bpe(path)
     return _LOADED[key]

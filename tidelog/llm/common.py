@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,6 +82,29 @@ def save(df: DataFrame, label: str) -> Saved:
     return Saved(df, label)
 
 
+_CACHES: list[Callable[[], None]] = []
+_CLAIMED: list[str] = []
+
+
+def cache(clear: Callable[[], None]) -> None:
+    """Registers how to free what a module keeps in a worker between tasks."""
+    _CACHES.append(clear)
+
+
+def claim(name: str) -> None:
+    """At the head of a task or chunk: if the worker's last task was another operator's, what that one
+    has kept is freed, so that workers of long sessions hold one operator's caches at a time.
+    What the allocators hold without use goes back to the system."""
+    if _CLAIMED and _CLAIMED[-1] != name:
+        for clear in _CACHES:
+            clear()
+        gc.collect()
+    _CLAIMED[:] = [name]
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc's
+        _LIBC.malloc_trim(0)
+
+
 def task_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -246,6 +275,7 @@ def chunks(df: DataFrame, size: int, text: str, label: str) -> Chunks:
     at = df.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("chunks")
         held: list[pa.RecordBatch] = []
         n = seq = 0
 
@@ -257,7 +287,7 @@ def chunks(df: DataFrame, size: int, text: str, label: str) -> Chunks:
             return pa.RecordBatch.from_arrays([pa.array([task_id() << 32 | seq]), pa.array([whole.num_rows]), pa.array([n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_rows", "n_bytes", "blob"])
 
         for b in batches:
-            sizes = np.array([0 if x is None else len(x) for x in b.column(at).cast(pa.binary()).to_pylist()], np.int64)
+            sizes = pc.fill_null(pc.binary_length(b.column(at).cast(pa.binary())), 0).to_numpy().astype(np.int64)
             lo = 0
             for i, s in enumerate(sizes.tolist()):
                 n += s

@@ -81,7 +81,9 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
 
 def length_table(path: str, keys: list[str]) -> bytes:
     """Tier one as bytes: the pieces, and one unsigned 16-bit length for each."""
-    found = bpe.Bpe(path).encode_pieces(keys)
+    encoder = bpe.Bpe(path)
+    keys = keys if encoder.cuts else []  # texts go whole to a tokenizer that pieces don't suit
+    found = encoder.encode_pieces(keys)
     keys = [k for k in keys if found[k] is not bpe.BAD]
     lengths = np.array([len(found[k]) // 4 for k in keys], np.uint16)
     return zlib.compress(len(keys).to_bytes(4, "little") + lengths.tobytes() + "\x00".join(keys).encode())
@@ -113,7 +115,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 encoder = bpe.loaded(path, name)
                 if not encoder.base:
                     encoder.base = read_length_table(tier.value)
-                    encoder.counts = dict(encoder.base)
+                    encoder._keep("counts", encoder.base)
             texts = b.column(1)
             n = np.array(encoder.n_tokens([t or "" for t in texts.to_pylist()]), np.int64)
             size = np.array([0 if x is None else len(x) for x in texts.cast(pa.binary()).to_pylist()], np.int64)

@@ -9,7 +9,6 @@ of their own length.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import text_or_empty
+from tidelog.llm.common import claim, save, text_or_empty
 from tidelog.llm.words import Words, grams, mask, portions, sliding_min
 
 IS_WORD = mask([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -131,8 +130,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null or empty texts have no words; null item ids and texts match nothing; repeated
     items and documents count as themselves; an empty benchmark hits nothing.  A benchmark
-    of at most `broadcast_bytes` is broadcast; a larger one is joined by fingerprint
-    and only the items that share one with a document travel to it.
+    of at most `broadcast_bytes` is broadcast; a larger one is joined by fingerprint,
+    and the windows of documents that share one are joined with the benchmark's.
     """
     spark = docs.sparkSession
     docs = docs.drop(*FOUND)
@@ -146,44 +145,79 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = None
             for b in batches:
-                index = index or Index(sent.value)
+                if index is None:
+                    claim("windows")
+                    index = Index(sent.value)
                 texts = text_or_empty(b.column(text_at))
                 yield _rows(b.columns, names, [x for lo, hi in portions(texts) for x in match(texts[lo:hi], index)])
 
         return docs.mapInArrow(small, out)
 
-    def prints(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = text_or_empty(b.column(1))
-            for lo, hi in portions(texts):
-                w = Words(texts[lo:hi], IS_WORD)
-                at, g, _ = fingerprints(w)
-                keys, owners = [g[at]], [w.doc[at]]
-                for m in range(1, WINDOW):  # a short item's window is its own fingerprint
-                    h = grams(w.hash, m)
-                    ok = w.doc[: len(h)] == w.doc[m - 1 :] if len(h) else np.zeros(0, bool)
-                    if whole:
-                        ok &= w.per_doc[w.doc[: len(h)]] == m
-                    keys.append(h[ok] ^ np.uint64(m))
-                    owners.append(w.doc[: len(h)][ok])
-                both = np.unique(np.stack([np.concatenate(owners).astype(np.uint64), np.concatenate(keys)]), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(both[0].astype(np.int64))), pa.array(both[1].view(np.int64))], names=["key", "print"])
-
+    # A larger benchmark: fingerprints are joined, and only documents that share one are extended.
+    spread = items.distinct()
+    per_item = spread.mapInArrow(_word_counts, "words long")
+    lengths = sorted(r["words"] for r in per_item.where(F.col("words").between(1, WINDOW - 1)).distinct().collect())  # at most nine numbers
+    of_items = spread.mapInArrow(partial(_emit, lengths=lengths, whole=True, every=False), "key string, print long")
+    windows = spread.mapInArrow(partial(_emit, lengths=lengths, whole=True, every=True), "key string, print long").withColumnsRenamed({"key": "item", "print": "window"})
     keyed = docs.select(F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    text = F.col("_row").getField(text_col)
-    of_items = items.distinct().mapInArrow(partial(prints, whole=True), "key string, print long").withColumnRenamed("key", "item")
-    of_docs = keyed.select(F.col("_key").alias("key"), text.alias("text")).mapInArrow(partial(prints, whole=False), "key string, print long")
-    shared = of_docs.join(of_items, "print").select("key", "item").distinct()
-    texts_of = shared.join(items.distinct(), "item").groupBy("key").agg(F.collect_list(F.struct("item", "item_text")).alias("near"))
+    texts = keyed.select(F.col("_key").alias("key"), F.col("_row").getField(text_col).alias("text"))
+    of_docs = texts.mapInArrow(partial(_emit, lengths=lengths, whole=False, every=False), "key string, print long")
+    near = of_docs.join(of_items.select("print").distinct(), "print", "left_semi").select("key").distinct()
+    of_near = texts.join(near, "key", "left_semi").mapInArrow(partial(_emit, lengths=lengths, whole=False, every=True), "key string, print long").withColumnRenamed("print", "window")
+    shared = save(of_near.join(windows.select("window").distinct(), "window", "left_semi").distinct(), "windows").df
+    # a document's lists are no longer than its words, and than the items that occur in it
+    hit = shared.groupBy("key").agg(F.collect_list("window").alias("hit"))
+    held = shared.join(windows.distinct(), "window").select("key", "item").distinct().groupBy("key").agg(F.collect_list("item").alias("held"))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.columns[:-1]
-            got = [match([t], Index([(x["item"], x["item_text"].encode()) for x in near or []]))[0] for t, near in zip(text_or_empty(own[text_at]), b.columns[-1].to_pylist(), strict=True)]
+            own, got = b.column(0).flatten(), []
+            for text, hashes, found in zip(text_or_empty(own[text_at]), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = Words([text], IS_WORD)
+                change, known = np.zeros(len(w.hash) + 1, np.int64), np.array(hashes or [], np.int64).view(np.uint64)
+                for m in [*lengths, WINDOW] if hashes else []:
+                    at = np.flatnonzero(np.isin(_named(grams(w.hash, m), m), known))
+                    change[at] += 1
+                    change[at + m] -= 1
+                got.append((len(w.hash), int((np.cumsum(change[:-1]) > 0).sum()), sorted(found or [])))
             yield _rows(own, names, got)
 
-    return keyed.join(texts_of.withColumnRenamed("key", "_key"), "_key", "left").select("_row.*", "near").mapInArrow(large, out)
+    whole = keyed.join(hit.withColumnRenamed("key", "_key"), "_key", "left").join(held.withColumnRenamed("key", "_key"), "_key", "left")
+    return whole.select("_row", "hit", "held").mapInArrow(large, out)
+
 
+def _named(h: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of windows of m words, apart from those of other lengths."""
+    return h ^ np.uint64(m)
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = text_or_empty(b.column(1))
+        for lo, hi in portions(texts):
+            yield pa.RecordBatch.from_arrays([pa.array(Words(texts[lo:hi], IS_WORD).per_doc.astype(np.int64))], names=["words"])
+
+
+def _emit(batches: Iterator[pa.RecordBatch], lengths: list[int], whole: bool, every: bool) -> Iterator[pa.RecordBatch]:
+    """(key, hash) of each text's winnowed fingerprints, or, with `every`, of its windows of ten
+    words; and of its windows of each of `lengths`, with `whole` only those that are whole texts."""
+    for b in batches:
+        texts = text_or_empty(b.column(1))
+        for lo, hi in portions(texts):
+            w = Words(texts[lo:hi], IS_WORD)
+            if every:
+                h = grams(w.hash, WINDOW)
+                at = np.flatnonzero(w.doc[: len(h)] == w.doc[WINDOW - 1 :]) if len(h) else np.zeros(0, np.int64)
+                hashes, owners = [_named(h[at], WINDOW)], [w.doc[at]]
+            else:
+                at, g, _ = fingerprints(w)
+                hashes, owners = [g[at]], [w.doc[at]]
+            for m in lengths:  # a short item's window is its own fingerprint
+                h = grams(w.hash, m)
+                at = np.flatnonzero((w.doc[: len(h)] == w.doc[m - 1 :]) & ((w.per_doc[w.doc[: len(h)]] == m) | (not whole))) if len(h) else np.zeros(0, np.int64)
+                hashes.append(_named(h[at], m))
+                owners.append(w.doc[at])
+            both = np.unique(np.stack([np.concatenate(owners).astype(np.uint64), np.concatenate(hashes)]), axis=1)
+            for at in range(0, both.shape[1], 50_000):
+                part = both[:, at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(part[0].astype(np.int64))), pa.array(part[1].view(np.int64))], names=["key", "print"])

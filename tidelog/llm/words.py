@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidelog.llm.common import mix
+from tidelog.llm.common import cache, mix
 
 #: An odd multiplier and its inverse modulo 2^64, and a random value for each byte.
 BASE = 0x9E3779B97F4A7C15
@@ -12,6 +12,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _POWERS: dict[int, np.ndarray] = {}
+cache(_POWERS.clear)
 #: Most powers of a base that a worker keeps.
 KEPT = 1 << 21
 
