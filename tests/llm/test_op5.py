@@ -45,6 +45,18 @@ def test_odd_rows(spark):
     assert got(df, chunk_bytes=8000) == brute(texts(df))
 
 
+def test_many_buckets(spark, monkeypatch):
+    """As many buckets as a large table gets; they hold about as much each."""
+    df = small(spark)
+    monkeypatch.setattr(op5, "BUCKET_BYTES", 64)
+    assert got(df, chunk_bytes=50_000) == brute(texts(df))
+    import numpy as np
+
+    a = op5.Anchors(np.arange(300), [hashlib.sha256(bytes([i % 256, i // 256])).hexdigest().encode() * 40 for i in range(300)])
+    n = np.bincount((a.h >> np.uint64(58)).astype(int), minlength=64)
+    assert len(a.h) > 2000 and n.max() < 3 * n.mean()
+
+
 def test_wide_groups(spark, monkeypatch):
     df = small(spark)
     held = op5.answer_entries

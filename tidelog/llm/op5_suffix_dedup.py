@@ -30,61 +30,70 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_group, chunks, mix, pack, power_of_two, read_chunk, save, unpack
-from tidelog.llm.words import BASE, BYTES, INVERSE, powers, sliding_min
+from tidelog.llm.common import by_group, chunks, claim, mix, pack, power_of_two, read_chunk, save, unpack
+from tidelog.llm.words import BASE, BYTES, INVERSE, portions, powers, sliding_min
 
 #: Bytes of a string, of a gram; bytes of text in a chunk and, about, for each bucket.
 T, K = 50, 20
 W = T - K + 1
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 512 << 10
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 LAST = np.uint64(2**64 - 1)
 #: A group of one gram that is asked for more contexts than this is compared by hashed strings, spread out.
 WIDE = 20_000
 SAME, ASK, SPREAD = 1, 2, 3
 
 
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(place, first and last place of the context, text, gram hash, context hash) of each anchor
+    of a portion of texts."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n, sizes = len(data), np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    none = np.zeros(0, np.int64)
+    if n < T:
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTES[data] * powers(BASE, n + 1)[:n], out=sums[1:])
+    inv = powers(INVERSE, n + 1)
+    h = mix((sums[K:] - sums[:-K]) * inv[: n - K + 1])
+    h[h == LAST] -= np.uint64(1)
+    h[doc[: n - K + 1] != doc[K - 1 :]] = LAST
+    whole = doc[: n - T + 1] == doc[T - 1 :]
+    edge = np.zeros(W - 1, np.uint64)
+    least = np.concatenate([edge, np.where(whole, sliding_min(h, W), np.uint64(0)), edge])
+    at = np.flatnonzero((~sliding_min(~least, W) == h) & (h != LAST))
+    doc = doc[at]
+    lo, hi = np.maximum(at - (W - 1), (ends - sizes)[doc]), np.minimum(at + T, ends[doc])
+    shape = (at - lo).astype(np.uint64) * np.uint64(256) + (hi - at).astype(np.uint64)
+    # hashes that were least are small: mixed again, they spread evenly over buckets
+    return at, lo, hi, doc, mix(h[at]), mix((sums[hi] - sums[lo]) * inv[lo] + mix(shape + np.uint64(1)))
+
+
 class Anchors:
     """Anchors of a chunk's documents and its distinct contexts (entries, sorted)."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
         """`ids`: document ids; texts of documents without an id must be empty."""
-        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        n = len(data)
-        self.at = self.doc = self.lo = self.hi = self.entry = self.first = np.zeros(0, np.int64)
-        self.h = self.context = np.zeros(0, np.uint64)
-        self.least = np.zeros(0, np.int64)
-        if n < T:
-            return
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[data] * powers(BASE, n + 1)[:n], out=sums[1:])
-        inv = powers(INVERSE, n + 1)
-        h = mix((sums[K:] - sums[:-K]) * inv[: n - K + 1])
-        h[h == LAST] -= np.uint64(1)
-        h[doc[: n - K + 1] != doc[K - 1 :]] = LAST
-        whole = doc[: n - T + 1] == doc[T - 1 :]
-        none = np.zeros(W - 1, np.uint64)
-        least = np.concatenate([none, np.where(whole, sliding_min(h, W), np.uint64(0)), none])
-        at = np.flatnonzero((~sliding_min(~least, W) == h) & (h != LAST))
-        if not len(at):
-            return
-        doc = doc[at]
-        lo, hi = np.maximum(at - (W - 1), self.starts[doc]), np.minimum(at + T, self.ends[doc])
-        shape = (at - lo).astype(np.uint64) * np.uint64(256) + (hi - at).astype(np.uint64)
-        context = mix((sums[hi] - sums[lo]) * inv[lo] + mix(shape + np.uint64(1)))
-        h = h[at]
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        parts = []
+        for first, last in portions(texts):  # one after the other, in little memory
+            at, lo, hi, doc, h, context = _anchors(texts[first:last])
+            base = starts[first]
+            parts.append((at + base, lo + base, hi + base, doc + first, h, context))
+        none = np.zeros(0, np.int64)
+        at, lo, hi, doc, h, context = (np.concatenate(z) for z in zip((*[none] * 4, *[none.view(np.uint64)] * 2), *parts, strict=True))
         order = np.lexsort((ids[doc], context, h))
-        self.at, self.doc, self.lo, self.hi, h, context = at[order], doc[order], lo[order], hi[order], h[order], context[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])])
+        self.at, self.lo, self.hi, self.doc, h, context = (z[order] for z in (at, lo, hi, doc, h, context))
+        new = np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (context[1:] != context[:-1])])
         self.entry = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
         self.h, self.context, self.least = h[new], context[new], ids[self.doc[new]]
 
 
 def _load(blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, list[bytes], Anchors]:
+    claim("shingles")
     t = read_chunk(blob)
     ids = t.column(id_col)
     known = ids.is_valid().to_numpy()
@@ -200,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     store = chunks(docs, chunk_bytes, text_col, "texts")
     total = store.df.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = power_of_two(total / BUCKET_BYTES, 2048, 1 << 20).bit_length() - 1
+    bits = power_of_two(total / BUCKET_BYTES, 128, 1 << 20).bit_length() - 1
     part = "chunk long, bucket int, blob binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +247,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 code = np.frombuffer(raw, np.uint8)
                 mine = ids[a.doc] if len(a.doc) else np.zeros(0, np.int64)
                 gone = (code[a.entry] == SAME) | (mine > a.least[a.entry]) if len(a.at) else np.zeros(0, bool)
-                change = np.zeros(len(a.data) + 1, np.int64)
+                change = np.zeros(len(a.data) + 1, np.int32)
                 np.add.at(change, a.lo[gone], 1)
                 np.add.at(change, a.hi[gone], -1)
-                cover = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+                cover = np.concatenate([[False], np.cumsum(change[:-1], dtype=np.int32) > 0, [False]])
                 flips = np.flatnonzero(cover[1:] != cover[:-1])
                 asked = np.flatnonzero(code >= ASK)
                 place = np.full(len(code) + 1, -1)
@@ -325,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 known = t.column(id_col).is_valid().to_pylist()
                 texts = [b"" if x is None else x for x in t.column(text_col).cast(pa.binary()).to_pylist()]
                 sizes = [len(x) if k else 0 for x, k in zip(texts, known, strict=True)]
-                change = np.zeros(sum(sizes) + 1, np.int64)
+                change = np.zeros(sum(sizes) + 1, np.int32)
                 own = next(x["blob"] for x in said if x["bucket"] == -1)
                 n = int.from_bytes(own[:8], "little")
                 lo, hi = unpack(own[8 : 8 + n])
@@ -342,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ok = at[(mine >> np.uint32(o)) & np.uint32(1) == 1] - o
                     np.add.at(change, ok, 1)
                     np.add.at(change, ok + T, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                gone = np.cumsum(change[:-1], dtype=np.int32) > 0
                 end, made = 0, {c: [] for c in names}
                 for x, k, size in zip(texts, known, sizes, strict=True):
                     cut = gone[end : end + size]

@@ -35,14 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Saved, by_group, chunks, components, pack, power_of_two, read_chunk, save, shuffle_partitions, unpack
+from tidelog.llm.common import Saved, by_group, chunks, claim, components, pack, power_of_two, read_chunk, save, shuffle_partitions, unpack
 from tidelog.llm.words import Words, grams, mask, portions
 
 IS_WORD = mask([(0x20, 0x20), (0x09, 0x0D)])
 SHINGLE, CLASSES = 5, 64
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 #: Most sets of a region that is compared whole; pivots of a larger one; levels of pivots before it is cut by size.
 LEAF, PIVOTS, DEPTH = 256, 8, 6
 #: Regions of up to so many are compared together.
@@ -203,6 +203,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
     def opened(blob: bytes) -> tuple[pa.Table, list[np.ndarray], list[bytes | None], np.ndarray, np.ndarray]:
         """Rows of a chunk, their sets and the sets' digests, the rows that stand for a set (least
         row number), and these sets' distinct shingles."""
+        claim("shingles")
         t = read_chunk(blob)
         sets = shingle_sets(_texts(t, text_col), shingle)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -359,11 +360,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         checked = measure(spread.where("uid <> pivot").select(*pair("uid", "pivot")).distinct())
         learn(checked)
         large = mixed(large)
-        to = large.join(pivots.df, "region").select("region", "uid", "size", "rest", "n", "pivot", *pair("uid", "pivot")).join(checked.select("u", "v", "far"), ["u", "v"], "left").withColumn("far", F.when(F.col("uid") == F.col("pivot"), 0.0).otherwise(F.col("far")))
+        to = large.join(pivots.df, "region").select("region", "uid", "size", "rest", "n", "pivot", *pair("uid", "pivot")).join(checked.select("u", "v", "far").hint("merge"), ["u", "v"], "left").withColumn("far", F.when(F.col("uid") == F.col("pivot"), 0.0).otherwise(F.col("far")))
         to = save(to.drop("u", "v"), "spread")
         temporary.append(to)
         near = to.df.groupBy("region", "uid").agg(F.min("far").alias("near"))
-        inside = to.df.join(near, ["region", "uid"]).where(F.col("far") <= F.col("near") + window)
+        inside = to.df.join(near.hint("merge"), ["region", "uid"]).where(F.col("far") <= F.col("near") + window)
         parts = inside.groupBy("region", "pivot").agg(F.count("*").alias("m"), F.first("n").alias("n"))
         split = parts.groupBy("region").agg(F.max(F.col("m") / F.col("n")).alias("most")).where("most <= 0.7").select("region")
         left = inside.join(split, "region").select(F.xxhash64("region", "pivot", F.lit(depth)).alias("region"), "uid", "size", "rest")
@@ -453,7 +454,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         rows = mixed(pool).join(vectors, "uid").select("region", "uid", "size", "rest", "label", "vector")
         found = rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(region(forest), "u long, v long").distinct()
         if tested is not None:
-            found = found.join(tested, ["u", "v"], "left_anti")
+            found = found.join(tested.hint("merge"), ["u", "v"], "left_anti")  # pairs pack well on disk: a size read there says little of memory
         pairs = save(found, "pairs")
         temporary.append(pairs)
         if pairs.df.take(1):
