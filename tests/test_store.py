@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import encode, project_fields, record_error, utf16_length
+from tidelog.functions.text import encode, project_fields, utf16_length, with_error, with_value
 from tidelog.model import Options
 from tidelog.operators import bitset, blocks, merge, oplog, sorted_index
 from tidelog.plans.store import open_store
@@ -168,8 +168,10 @@ def test_line_scan(spark, tmp_path):
 
 
 def test_functions(spark):
-    row = spark.range(1).select(utf16_length(F.lit("a😀é")).alias("n"), record_error(F.lit("NaN")).alias("nan"), project_fields(F.lit('{"a":null,"b":{"c":1}}'), ["a", "b", "c"]).alias("p"), project_fields(F.lit("{}"), []).alias("none")).first()
-    assert row["n"] == 4 and row["nan"] == "not one JSON value" and row["p"] == {"a": "null", "b": '{"c":1}'} and row["none"] == {}
+    rows = spark.createDataFrame([("NaN",), ('{"a":null,"b":{"c":1}}',), (None,)], "line string")
+    assert [r["error"] for r in with_error(rows).collect()] == ["not one JSON value", "id is missing", "not one JSON value"]
+    row = with_value(rows.where("line like '%null%'")).select(utf16_length(F.lit("a😀é")).alias("n"), project_fields(F.col("_value"), ["a", "b", "c"]).alias("p"), project_fields(F.col("_value"), []).alias("none")).first()
+    assert row["n"] == 4 and row["p"] == {"a": "null", "b": '{"c":1}'} and row["none"] == {}
     at = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
     assert encode({"x": float("nan"), "d": at, "f": print, "l": [print, 2.0], "s": {1}}) == '{"x":null,"d":"2024-05-06T07:08:09.123Z","l":[null,2],"s":{}}'
 

@@ -7,7 +7,7 @@ import json
 import math
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,44 +29,41 @@ def split_part(text: Column, part: int, separator: str = "\u001f") -> Column:
     return F.split_part(text, F.lit(separator), F.lit(part))
 
 
-def parsed(line: Column) -> Column:
-    """The line's JSON value as VARIANT; null unless the whole line is one strict JSON value.
+def with_value(lines: DataFrame, line: str = "line", value: str = "_value") -> DataFrame:
+    """Adds the line's JSON value as VARIANT; null unless the whole line is one strict JSON value.
 
-    The parser alone ignores what follows a value; inside brackets it does not."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    one = F.try_variant_get(wrapped, "$[1]", "variant").isNull() & F.try_variant_get(wrapped, "$[0]", "variant").isNotNull()
-    return F.when(one, F.try_variant_get(wrapped, "$[0]", "variant"))
+    The parser alone ignores what follows a value; inside brackets it does not.  Each step is
+    a column of its own that the next refers to, so a line is parsed once."""
+    rest = [c for c in lines.columns if c != value]
+    wrapped = lines.select(*rest, F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit("]"))).alias("_wrapped"))
+    one = F.when(F.try_variant_get("_wrapped", "$[1]", "variant").isNull(), F.try_variant_get("_wrapped", "$[0]", "variant"))
+    return wrapped.select(*rest, one.alias(value))
 
 
-def _kind(value: Column, name: str) -> Column:
-    """string, number, boolean, object ... as the type of a field; null: it is missing."""
-    kind = F.schema_of_variant(F.try_variant_get(value, f"$['{name}']", "variant"))
-    return (
-        F.when(kind == "STRING", "string").when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), "number").when(kind == "BOOLEAN", "boolean").when(kind.isNotNull(), "object")
-    )
+#: The system fields of a stored line and their types, in the order of their checks.
+FIELDS = (("id", "string"), ("_oid", "number"), ("_rid", "number"), ("_seq", "number"))
 
 
-def field_error(value: Column, name: str, kind: str) -> Column:
-    """Null where the field has the type, or what is wrong with it."""
-    got = _kind(value, name)
-    return F.when(got.isNull(), f"{name} is missing").when(got != kind, f"{name} must be a {kind}")
+def with_error(lines: DataFrame, line: str = "line", error: str = "error", value: str = "_value") -> DataFrame:
+    """Adds the line's value and the first thing that is wrong with it; null where it is a record."""
+    parsed = with_value(lines, line, value)
+    kinds = parsed.select("*", *(F.schema_of_variant(F.try_variant_get(F.col(value), f"$['{n}']", "variant")).alias(f"_kind_{n}") for n, _ in FIELDS))
+    checks = []
+    for n, kind in FIELDS:
+        got = F.col(f"_kind_{n}")
+        right = {"string": got == "STRING", "number": got.rlike("^(BIGINT|DOUBLE|DECIMAL)"), "boolean": got == "BOOLEAN"}[kind]
+        checks.append(F.when(got.isNull(), f"{n} is missing").when(~right, f"{n} must be a {kind}"))
+    wrong = F.when(F.col(value).isNull(), "not one JSON value").otherwise(F.coalesce(*checks))
+    return kinds.select(*(c for c in lines.columns if c not in (value, error)), value, wrong.alias(error))
 
 
-def record_error(line: Column) -> Column:
-    """The first thing wrong with a stored line; null where it is a record."""
-    value = parsed(line)
-    checks = [field_error(value, n, k) for n, k in (("id", "string"), ("_oid", "number"), ("_rid", "number"), ("_seq", "number"))]
-    return F.when(value.isNull(), "not one JSON value").otherwise(F.coalesce(*checks))
-
-
-def project_fields(line: Column, names: list[str]) -> Column:
-    """Named top-level fields as a map of JSON texts: missing ones omitted, null kept."""
+def project_fields(value: Column, names: list[str]) -> Column:
+    """Named top-level fields of a VARIANT as a map of JSON texts: missing ones omitted, null kept."""
     if not names:
         return F.create_map().cast("map<string,string>")
-    value = parsed(line)
-    entries = F.array(*(F.struct(F.lit(n).alias("key"), F.to_json(F.try_variant_get(value, f"$['{n}']", "variant")).alias("value"), F.try_variant_get(value, f"$['{n}']", "variant").isNotNull().alias("there")) for n in names))
-    kept = F.transform(F.filter(entries, lambda e: e["there"]), lambda e: F.struct(e["key"], e["value"]))
-    return F.map_from_entries(kept)
+    fields = F.array(*(F.struct(F.lit(n).alias("key"), F.to_json(F.try_variant_get(value, f"$['{n}']", "variant")).alias("value")) for n in names))
+    # a missing field has no text; JSON null has the text null
+    return F.map_from_entries(F.filter(fields, lambda e: e["value"].isNotNull()))
 
 
 def tombstone(id_: Column, rid: Column, seq: Column) -> Column:

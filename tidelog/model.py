@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,8 +20,9 @@ OPS_SCHEMA = "ord long, id string, op int, record string"
 
 @dataclass
 class Options:
-    """Options of a store.  `data_sync_delay` and `compact_delay` are accepted and have no
-    effect: a commit is synchronous, and compaction runs when it is asked for."""
+    """Options of a store.  `data_sync_delay` is accepted and has no effect: a commit is
+    synchronous.  `compact_delay` is the least time between two runs of `maintain`.  `on_error`
+    gets the messages of lines that are no records, which are then left out."""
 
     dir_path: str = ""
     max_block_size: int = 8 * 1024 * 1024
@@ -29,6 +31,7 @@ class Options:
     compact_delay: int = 24 * 60 * 60 * 1000
     cached_fields: list[str] = field(default_factory=list)
     reload_rule: bool = False
+    on_error: Callable[[str], None] | None = None
 
     @classmethod
     def of(cls, given: dict[str, Any]) -> Options:
@@ -52,4 +55,8 @@ class Options:
         if isinstance(given.get("cached_fields"), list) and given["cached_fields"]:
             out.cached_fields = list(given["cached_fields"])
         out.reload_rule = bool(given.get("reload_rule", False))
+        if on_error := given.get("on_error"):
+            if not callable(on_error):
+                raise TypeError("onError must be a function")
+            out.on_error = on_error
         return out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,11 @@ def stale_bytes(sizes: DataFrame, current: DataFrame, length: Column | None = No
 def stale_delta(changes: DataFrame) -> DataFrame:
     """What a batch adds to blocks.  `changes`: new_bid, new_length, old_bid and old_length
     (null where the key was not there)."""
-    added = changes.select(F.col("new_bid").alias("bid"), F.col("new_length").alias("size"), F.lit(0).cast("long").alias("stale"))
-    left = changes.where("old_bid is not null").select(F.col("old_bid").alias("bid"), F.lit(0).cast("long").alias("size"), F.col("old_length").alias("stale"))
-    return added.unionAll(left).groupBy("bid").agg(F.sum("size").cast("long").alias("size_added"), F.sum("stale").cast("long").alias("stale_added"))
+    none = F.lit(0).cast("long")
+    new = F.struct(F.col("new_bid").alias("bid"), F.col("new_length").cast("long").alias("size"), none.alias("stale"))
+    old = F.struct(F.col("old_bid").alias("bid"), none.alias("size"), F.col("old_length").cast("long").alias("stale"))
+    both = changes.select(F.inline(F.array(new, old))).where("bid is not null")  # one reading of the changes gives both sides
+    return both.groupBy("bid").agg(F.sum("size").cast("long").alias("size_added"), F.sum("stale").cast("long").alias("stale_added"))
 
 
 def candidates(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -51,27 +55,45 @@ def pack(rows: DataFrame, order: str, size: str, most: int, group: str | None =
     """Adds `block`, from 0: a row opens a block when the one before has reached `most`.
 
     The rule looks at what a block holds so far, so it is one pass in order; streams of
-    rows that are packed apart (`group`) go to tasks of their own.  Only order and size
-    enter the pass, in chunks of bounded memory.
+    rows that are packed apart (`group`; null is a stream of its own) go to tasks of their own.
+    Only order and size enter the pass, in chunks of bounded memory, and it moves from
+    block to block by search in running sums, not from row to row.  Null sizes count as 0.
     """
     slim = rows.select(*([group] if group else []), order, size)
+    names = slim.columns
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, last = 0, 0, None
         for b in batches:
-            out = []
-            for g, n in zip(b[group] if group else [None] * len(b), b[size].fillna(0), strict=True):
-                if g != last:
-                    block, held, last = 0, 0, g
-                if held >= most:
-                    block, held = block + 1, 0
-                held += int(n)
-                out.append(block)
-            yield b.assign(block=out)
+            n = b.num_rows
+            if not n:
+                continue
+            sizes = pc.fill_null(b.column(names.index(size)).cast(pa.int64()), 0).to_numpy()
+            out = np.empty(n, np.int64)
+            stream = b.column(0).dictionary_encode("encode") if group else pa.array(np.zeros(n, np.int8)).dictionary_encode()
+            code = stream.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), n]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                now = (stream.dictionary[int(code[lo])].as_py(),)
+                if now != last:
+                    block, held, last = 0, 0, now
+                ends = np.cumsum(sizes[lo:hi])
+                at = 0
+                while lo + at < hi:
+                    if held >= most:
+                        block, held = block + 1, 0
+                    before = int(ends[at - 1]) if at else 0
+                    # the first row with which the block reaches `most` is its last
+                    stop = min(int(np.searchsorted(ends, before + most - held, "left")) + 1, hi - lo)
+                    stop = max(stop, at + 1)
+                    out[lo + at : lo + stop] = block
+                    held += int(ends[stop - 1]) - before
+                    at = stop
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*names, "block"])
 
     dealt = slim.repartition(group).sortWithinPartitions(group, order) if group else slim.coalesce(1).sortWithinPartitions(order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return dealt.mapInPandas(fold, f"{schema}, block long")
+    return dealt.mapInArrow(fold, f"{schema}, block long")
 
 
 def compact(current: DataFrame, bid: str, log: DataFrame | None = None) -> DataFrame:

@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of an order that are summed at one level, and levels below the top one: 64 bits less
+#: these leave at most 2^22 rows to the window that sees all of the top.
+BITS, LEVELS = 14, 3
 
-def _bucket(df: DataFrame, order: Column) -> Column:
-    """A range of `order`, bounds from approximate quantiles; fixed, so every reading of the
-    plan deals the same rows to the same range.  One bound for each shuffle partition."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n < 2:
-        return F.lit(0)
-    found = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 1000)).first()[0]
-    bounds = sorted({b for b in found or [] if b is not None})
-    return reduce(lambda a, b: a + b, ((order > F.lit(b)).cast("int") for b in bounds), F.lit(0))
 
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column], within: list[str] | None = None) -> DataFrame:
+    """Adds each of `sums` as its inclusive running sum by `order`, an integer that differs on
+    every row; with `within`, in each group of these columns apart, where it differs.
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
-    """Adds each of `sums` as its inclusive running sum by `order`, a number that differs on
-    every row.  Ranges of `order` are summed apart and shifted by the sums of those before."""
+    A block is the rows of one `order >> 14`, so it holds at most 2^14 of a group.  Blocks are
+    summed apart and shifted by the sums of the blocks before, which are found in the same way
+    from the blocks' totals.  Nothing runs before the plan does, and nothing depends on
+    how rows are dealt."""
     if not sums:
         return df
-    at = df.withColumn("_range", _bucket(df, F.col(order)))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
-    totals = at.groupBy("_range").agg(*(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
-    bases = totals.select("_range", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums))
+    groups = within or []
+    at = df.withColumn("_block", F.shiftright(F.col(order).cast("long"), BITS))
+    inside = Window.partitionBy(*groups, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = at.select("*", *(F.sum(v).over(inside).alias(k) for k, v in sums.items()))
-    out = local.join(F.broadcast(bases), "_range")
+    totals = at.groupBy(*groups, "_block").agg(*(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
+    out = local.join(_before(totals, [f"_{k}" for k in sums], groups, LEVELS), [*groups, "_block"])
     return out.select(*df.columns, *((F.col(k) + F.col(f"_{k}")).cast("long").alias(k) for k in sums))
+
+
+def _before(totals: DataFrame, names: list[str], groups: list[str], levels: int) -> DataFrame:
+    """groups, _block and, for each of `names`, the sum over the blocks before."""
+    rows = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 1:
+        rows = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1) if groups else rows
+        return totals.select(*groups, "_block", *(F.coalesce(F.sum(n).over(rows), F.lit(0)).alias(n) for n in names))
+    up = totals.withColumn("_up", F.shiftright("_block", BITS))
+    rows = Window.partitionBy(*groups, "_up").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    local = up.select(*groups, "_block", "_up", *(F.coalesce(F.sum(n).over(rows), F.lit(0)).alias(f"{n}_own") for n in names))
+    above = up.groupBy(*groups, "_up").agg(*(F.sum(n).alias(n) for n in names)).withColumnRenamed("_up", "_block")
+    shift = _before(above, names, groups, levels - 1).withColumnRenamed("_block", "_up")
+    return local.join(shift, [*groups, "_up"]).select(*groups, "_block", *((F.col(n) + F.col(f"{n}_own")).alias(n) for n in names))

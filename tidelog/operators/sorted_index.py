@@ -21,7 +21,8 @@ def check_record(record: list, keys: int, values: int) -> None:
 
 def upsert(rows: DataFrame, keys: list[str], values: list[str], ordinal: Column) -> DataFrame:
     """One row for each key: the one that arrived last by `ordinal`."""
-    return best(rows.withColumn("_ordinal", ordinal), keys, F.col("_ordinal")).select(*keys, *values)
+    slim = rows.select(*keys, *values, ordinal.alias("_ordinal"))  # what a struct holds can't be pruned later
+    return best(slim, keys, F.col("_ordinal")).select(*keys, *values)
 
 
 def seek(index: DataFrame, keys: list[str], key: list[int]) -> DataFrame:
@@ -62,3 +63,34 @@ def lower_bound(index: DataFrame, key: str, probes: DataFrame, probe: str, strid
     counted = running_sums(points, "x", {"_below": F.col("_key")})
     asked = counted.where("_probe = 0")
     return asked.select(F.col("x").alias(probe), ((F.col("_below") - F.col("_key")) * stride).cast("long").alias("offset"), (F.col("_key") == 1).alias("found"))
+
+
+def lower_bound_compound(index: DataFrame, keys: list[str], probes: DataFrame, wanted: list[str], stride: int | None = None) -> DataFrame:
+    """lower_bound for keys of several parts, in lexicographic order; `stride` is the number of
+    a row's cells, the keys' unless given.
+
+    Below a probe are the rows that are less in the first part, those that are alike there and
+    less in the second, and so on: running sums over one part, inside groups of the parts before."""
+    if len(wanted) < len(keys):
+        raise ValueError("Invalid key length")
+    parts = [f"k{i}" for i in range(len(keys))]
+    asked = probes.select(*(F.col(c).cast("long").alias(k) for c, k in zip(wanted, parts, strict=False))).distinct()
+    held = index.select(*(F.col(c).cast("long").alias(k) for c, k in zip(keys, parts, strict=True)), F.lit(1).alias("_key"))
+    points = held.unionByName(asked.withColumn("_key", F.lit(0)))
+    out = asked.withColumn("_below", F.lit(0).cast("long"))
+    for i, part in enumerate(parts):
+        one = points.groupBy(*parts[: i + 1]).agg(F.sum("_key").alias("_here"))
+        counted = running_sums(one, part, {"_up_to": F.col("_here")}, within=parts[:i])
+        out = out.join(counted, parts[: i + 1]).withColumn("_below", F.col("_below") + F.col("_up_to") - F.col("_here"))
+        out = out.withColumn("found", F.col("_here") > 0).drop("_here", "_up_to") if part == parts[-1] else out.drop("_here", "_up_to")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(wanted, parts, strict=False)), (F.col("_below") * (stride or len(keys))).cast("long").alias("offset"), "found")
+
+
+def rows_of(cells: Column, keys: int, values: int) -> Column:
+    """Cells as an array of rows of keys + values cells; what is left over at the end is a shorter row."""
+    stride = keys + values
+    if stride < 1:
+        raise ValueError("Size is too small for the given stride")
+    n = F.ceil(F.size(cells) / stride).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(cells, i * stride + 1, stride))

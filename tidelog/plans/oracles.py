@@ -18,6 +18,23 @@ STATS = "CAST(coalesce(max(seq), 0) AS BIGINT) AS max_seq, CAST(coalesce(min(seq
 INDEX = "ix AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) = 1)"
 
 
+GOOD = """'{"id":"' || event_id || '","_oid":1,"_rid":' || event_id || ',"_seq":' || event_id || '}'"""
+CHECKED = f"""odd AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN {GOOD} WHEN 1 THEN '{{"_oid":1,"_rid":1,"_seq":' || event_id || '}}' WHEN 2 THEN '{{"id":' || event_id || ',"_oid":1,"_rid":1,"_seq":1}}'
+        WHEN 3 THEN '{{"id":"' || event_id || '","_rid":1,"_seq":1}}' WHEN 4 THEN '{{"id":"' || event_id || '","_oid":"1","_rid":1,"_seq":1}}' WHEN 5 THEN '{{"id":"' || event_id || '","_oid":1,"_rid":true,"_seq":1}}'
+        WHEN 6 THEN '{{"id":"' || event_id ELSE {GOOD} || ' x' END AS line FROM events),
+kinds AS (SELECT event_id, json_valid(line) AS whole, CASE WHEN json_valid(line) THEN [json_type(line, '$.id'), json_type(line, '$._oid'), json_type(line, '$._rid'), json_type(line, '$._seq')] END AS k FROM odd),
+checked AS (SELECT event_id, CASE WHEN NOT whole THEN 'not one JSON value' WHEN k[1] IS NULL THEN 'id is missing' WHEN k[1] <> 'VARCHAR' THEN 'id must be a string'
+        WHEN k[2] IS NULL THEN '_oid is missing' WHEN k[2] NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '_oid must be a number' WHEN k[3] IS NULL THEN '_rid is missing' WHEN k[3] NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '_rid must be a number'
+        WHEN k[4] IS NULL THEN '_seq is missing' WHEN k[4] NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '_seq must be a number' ELSE 'ok' END AS error FROM kinds)"""
+PARSED = f"""{LOG}, lines AS (SELECT bid, line_no, '{{"id":"' || id || '","_oid":' || oid || ',"_rid":' || line_no || ',"_seq":' || line_no || ',"props":' || record || '}}' AS line FROM log),
+parsed AS (SELECT bid, line_no, line, json_extract_string(line, '$.id') AS id, CAST(json_extract(line, '$._oid') AS INTEGER) AS oid, CAST(json_extract(line, '$._rid') AS BIGINT) AS rid, CAST(json_extract(line, '$._seq') AS BIGINT) AS seq FROM lines)"""
+CELLS = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS cells FROM lineitem GROUP BY l_orderkey"
+
+
+def orders(flag: str) -> str:
+    return f"SELECT DISTINCT l_orderkey AS bit FROM lineitem WHERE l_returnflag = '{flag}'"
+
+
 def users(kind: str) -> str:
     return f"SELECT DISTINCT user_id AS bit FROM events WHERE event_type = '{kind}' AND user_id IS NOT NULL"
 
@@ -28,37 +45,53 @@ ORACLES = {
     "kv_multi_get": f"WITH {CURRENT}, {KEYS} SELECT id, seq, record FROM cur WHERE oid <> 2 AND id IN (SELECT id FROM keys)",
     "kv_has": f"WITH {CURRENT}, {KEYS} SELECT k.id, CASE WHEN c.id IS NULL THEN 0 ELSE 1 END AS present FROM keys k LEFT JOIN (SELECT id FROM cur WHERE oid <> 2) c ON k.id = c.id",
     "kv_missing": f"WITH {CURRENT}, {KEYS} SELECT id FROM keys WHERE id NOT IN (SELECT id FROM cur WHERE oid <> 2)",
-    "kv_get_by_rid": f"WITH {STAMP} SELECT id, rid, seq, record FROM sc WHERE op <> 2 AND rid = 5",
+    "kv_get_by_rid": f"WITH {STAMP} SELECT id, rid, seq, record FROM sc WHERE op <> 2 AND rid = (SELECT max(rid) FROM sc WHERE op <> 2)",
+    "rid_conflicts": "SELECT l_suppkey AS rid, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 1",
     "live_filter": f"WITH {CURRENT} SELECT id, oid, seq FROM cur WHERE oid <> 2",
     "tombstones": f"WITH {CURRENT} SELECT id, oid, seq FROM cur WHERE oid = 2",
     "oplog_assign": f"WITH {STAMP} SELECT ord, id, op, seq, rid FROM st",
     "oplog_delete": f"WITH {STAMP} SELECT ord, id, seq, rid, {DEAD} AS record FROM st WHERE op = 2",
-    "load_block": f"WITH {LOG} SELECT bid, id, line_no, oid, record FROM log QUALIFY row_number() OVER (PARTITION BY bid, id ORDER BY line_no DESC) = 1",
+    "parse_block": f"WITH {PARSED} SELECT bid, line_no, id, oid, rid, seq, line AS record FROM parsed",
+    "load_block": f"WITH {PARSED} SELECT bid, id, line_no, oid, seq, line AS record FROM parsed QUALIFY row_number() OVER (PARTITION BY bid, id ORDER BY line_no DESC) = 1",
+    "error_rows": f"WITH {CHECKED} SELECT event_id AS line_no, 'Invalid JSON entry in b at lineNo:' || event_id || ': ' || error AS error FROM checked WHERE error <> 'ok'",
     "merge_latest": f"""WITH {LOG}, d AS (SELECT id, oid, line_no, CAST(line_no % 8 AS VARCHAR) AS bid, line_no * 7919 % 997 AS seq FROM log),
         b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY bid, id ORDER BY line_no DESC) = 1)
         SELECT id, bid, seq, line_no, oid FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC, bid DESC) = 1""",
     "seq_stats": f"WITH {STAMP} SELECT {STATS} FROM sc",
-    "seq_stats_by_block": f"WITH {STAMP} SELECT bid, {STATS} FROM sc GROUP BY bid",
+    "seq_stats_by_block": f"WITH {STAMP} SELECT bid, {STATS} FROM st GROUP BY bid",
     "stale_bytes": f"WITH {STALE} SELECT bid, size, live_chars, stale_bytes FROM stale",
     "stale_delta": f"""WITH {STAMP}, l AS (SELECT *, {UNITS.format('body')} AS len FROM (SELECT *, CASE WHEN op = 2 THEN {DEAD} ELSE record END AS body FROM st)),
         g AS (SELECT bid, len, lag(op) OVER w AS pop, lag(bid) OVER w AS pbid, lag(len) OVER w AS plen FROM l WINDOW w AS (PARTITION BY id ORDER BY ord)),
         u AS (SELECT bid, len AS size, 0 AS stale FROM g UNION ALL SELECT pbid, 0, plen FROM g WHERE pop = 1)
         SELECT bid, CAST(sum(size) AS BIGINT) AS size_added, CAST(sum(stale) AS BIGINT) AS stale_added FROM u GROUP BY bid""",
     "compaction_candidates": f"WITH {STALE} SELECT bid, size, stale_bytes FROM stale WHERE size > 0 AND stale_bytes / size >= 0.4",
-    "compact_block": f"WITH {CURRENT} SELECT bid, id, row_number() OVER (ORDER BY seq) AS line_no, oid, record FROM cur WHERE CAST(bid AS BIGINT) = (SELECT max(CAST(bid AS BIGINT)) FROM log)",
+    "compact_block": f"""WITH {LOG}, d AS (SELECT id, oid, seq, line_no, record, CAST(line_no % 8 AS VARCHAR) AS bid FROM log), c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
+        SELECT bid, id, row_number() OVER (ORDER BY seq) AS line_no, oid, record FROM c WHERE bid = '4' AND (oid <> 2 OR id IN (SELECT id FROM d WHERE bid <> '4'))""",
+    "block_pack_whole": """WITH RECURSIVE r AS (SELECT conv_id * 1000 + turn AS ord, CAST(strlen(text) AS BIGINT) AS size, row_number() OVER (ORDER BY conv_id, turn) AS k FROM conversations),
+        w AS (SELECT ord, size, k, CAST(0 AS BIGINT) AS block, coalesce(size, 0) AS held FROM r WHERE k = 1
+        UNION ALL SELECT r.ord, r.size, r.k, CASE WHEN w.held >= 2000 THEN w.block + 1 ELSE w.block END, CASE WHEN w.held >= 2000 THEN coalesce(r.size, 0) ELSE w.held + coalesce(r.size, 0) END FROM w JOIN r ON r.k = w.k + 1)
+        SELECT ord, size, block FROM w""",
+    "store_open": f"WITH {STAMP} SELECT id, seq, rid, json_extract_string(record, '$.k') AS k FROM sc WHERE op <> 2",
+    "store_compact": f"WITH {STAMP} SELECT id, seq, rid FROM sc WHERE op <> 2",
+    "store_lookups": f"WITH {STAMP}, {KEYS}, l AS (SELECT id, seq FROM sc WHERE op <> 2) SELECT k.id, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS present, l.seq FROM keys k LEFT JOIN l ON k.id = l.id",
     "block_pack": """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
         w AS (SELECT source, doc_id, n_chars, k, CAST(0 AS BIGINT) AS block, n_chars AS held FROM r WHERE k = 1
         UNION ALL SELECT r.source, r.doc_id, r.n_chars, r.k, CASE WHEN w.held >= 50000 THEN w.block + 1 ELSE w.block END, CASE WHEN w.held >= 50000 THEN r.n_chars ELSE w.held + r.n_chars END FROM w JOIN r ON r.source = w.source AND r.k = w.k + 1)
         SELECT source, doc_id, n_chars, block FROM w""",
     "utf16_units": f"SELECT doc_id, {UNITS.format('text')} AS utf16_units, strlen(text) AS utf8_bytes FROM documents",
     "project_field": "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(CASE WHEN json_extract(props, '$.k') IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_fields FROM events",
-    "validate_records": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'id is missing' WHEN 2 THEN 'id must be a string' WHEN 3 THEN '_oid is missing'
-        WHEN 4 THEN '_oid must be a number' WHEN 5 THEN '_rid must be a number' ELSE 'not one JSON value' END AS error FROM events""",
+    "validate_records": f"WITH {CHECKED} SELECT event_id, error FROM checked",
+    "block_scan": """SELECT bid, CAST(n AS BIGINT) AS line_no, parts[n] AS line FROM (SELECT bid, parts, unnest(range(1, len(parts))) AS n FROM (SELECT CAST(page_id AS VARCHAR) AS bid, string_split(regexp_replace(html, '\n+', chr(10), 'g'), chr(10)) AS parts FROM pages))""",
+    "custom_break": "SELECT doc_id, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)",
     "line_scan": "SELECT doc_id, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)",
     "bitset_union": f"{users('click')} UNION {users('view')}",
     "bitset_intersection": f"{users('click')} INTERSECT {users('view')}",
-    "bitset_difference": f"{users('click')} EXCEPT {users('purchase')}",
-    "bitset_clear": f"{users('view')} EXCEPT {users('error')}",
+    "bitset_difference": f"{orders('R')} EXCEPT {orders('A')}",
+    "bitset_clear": f"{orders('N')} EXCEPT {orders('R')}",
+    "bitset_set": f"{orders('A')} UNION {orders('R')}",
+    "bitset_resize": f"SELECT CAST(count(*) * 8192 AS BIGINT) AS capacity FROM (SELECT DISTINCT bit // 8192 AS page FROM ({orders('A')}) UNION SELECT unnest(range(12208)))",
+    "bitset_packed_union": f"SELECT count(*) AS n FROM ({orders('A')} UNION {orders('R')})",
+    "bitset_packed_intersection": f"SELECT count(*) AS n FROM ({orders('A')} INTERSECT {orders('R')})",
     "bitset_probe": f"SELECT c_custkey AS bit, CASE WHEN u.bit IS NULL THEN 0 ELSE 1 END AS is_set FROM customer LEFT JOIN ({users('purchase')}) u ON c_custkey = u.bit",
     "bitset_iterate": "SELECT bit, row_number() OVER (ORDER BY bit) - 1 AS position FROM (SELECT DISTINCT o_custkey AS bit FROM orders)",
     "bitset_capacity": "SELECT CAST(count(DISTINCT o_orderkey // 8192) * 8192 AS BIGINT) AS capacity FROM orders",
@@ -68,6 +101,16 @@ ORACLES = {
     "index_scan": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn",
     "lower_bound": """WITH k AS (SELECT o_custkey AS x, row_number() OVER (ORDER BY o_custkey) AS r FROM (SELECT DISTINCT o_custkey FROM orders)), p AS (SELECT DISTINCT c_custkey FROM customer)
         SELECT c_custkey, CAST(2 * (SELECT count(*) FROM k WHERE x < c_custkey) AS BIGINT) AS "offset", EXISTS (SELECT 1 FROM k WHERE x = c_custkey) AS found FROM p""",
+    "compound_lower_bound": """WITH k AS (SELECT DISTINCT l_orderkey AS a, CAST(l_linenumber AS BIGINT) AS b FROM lineitem), p AS (SELECT DISTINCT a, b + 1 AS b FROM k),
+        u AS (SELECT a, b, 1 AS w FROM k UNION ALL SELECT a, b, 0 FROM p), g AS (SELECT a, b, sum(w) AS here, min(w) AS probe FROM u GROUP BY a, b),
+        c AS (SELECT *, sum(here) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) - here AS below FROM g)
+        SELECT a AS l_orderkey, b AS line, CAST(3 * below AS BIGINT) AS "offset", here > 0 AS found FROM c WHERE probe = 0""",
+    "cell_get_set": f"SELECT l_orderkey, cells[2] AS second, CAST(NULL AS BIGINT) AS before, CAST(list_sum(cells) - cells[-1] + 4294967295 AS BIGINT) AS total FROM ({CELLS})",
+    "cell_push_pop": f'SELECT l_orderkey, CAST(1 AS BIGINT) AS last, len(cells) + 1 AS length, len(cells) AS "left", CAST(NULL AS BIGINT) AS "none" FROM ({CELLS})',
+    "cell_growth": "SELECT doc_id, CAST(CASE WHEN n_chars + 128 >= greatest(n_chars, 1024) THEN ceil(greatest(n_chars, 1024) * 2 / 4096.0) * 4096 ELSE greatest(n_chars, 1024) END AS BIGINT) AS capacity FROM documents",
+    "cell_rows": f'SELECT l_orderkey, r AS "row", cells[2 * r + 1] AS key, cells[2 * r + 2] AS value FROM (SELECT l_orderkey, cells, unnest(range((len(cells) + 1) // 2)) AS r FROM ({CELLS}))',
+    "cell_index_of": "SELECT l_orderkey, CAST(coalesce(list_position(list(l_linenumber ORDER BY l_linenumber), 3), 0) - 1 AS BIGINT) AS place FROM lineitem GROUP BY l_orderkey",
+    "split_fields": "SELECT event_id, props AS fifth, '' AS ninth FROM events",
     "compound_compare": "SELECT l_orderkey, l_linenumber, CASE WHEN row(l_orderkey, CAST(l_linenumber AS BIGINT)) < row(CAST(700 AS BIGINT), CAST(3 AS BIGINT)) THEN -1 WHEN row(l_orderkey, CAST(l_linenumber AS BIGINT)) > row(CAST(700 AS BIGINT), CAST(3 AS BIGINT)) THEN 1 ELSE 0 END AS side FROM lineitem",
     "base36_id": "SELECT o_orderkey, lower(to_base(o_orderkey, 36)) AS base36 FROM orders",
     "stream_latest": f"WITH {CURRENT} SELECT id, seq, record FROM cur WHERE oid <> 2",

@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import base36, project_fields, record_error, tombstone, utf8_length, utf16_length
-from tidelog.model import DELETE, SET
+from tidelog.functions import cells
+from tidelog.functions.text import base36, project_fields, split_part, tombstone, utf8_length, utf16_length, with_error, with_value
+from tidelog.model import DELETE, OPS_SCHEMA, SET
 from tidelog.operators import bitset, blocks, merge, oplog, sorted_index
-from tidelog.sources.blocks import number_lines
+from tidelog.sources.blocks import number_lines, parse_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +23,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only if they are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="tidelog-")).rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,7 +91,17 @@ def kv_missing(spark, sf_dir):
 
 @query
 def kv_get_by_rid(spark, sf_dir):
-    return merge.get_by_rid(stamped_current(spark, sf_dir), 5).select("id", F.col("_rid").alias("rid"), F.col("_seq").alias("seq"), "record")
+    """The live record of the largest surrogate key that one has."""
+    rows = stamped_current(spark, sf_dir)
+    rid = merge.live(rows).agg(F.max("_rid")).first()[0]
+    return merge.get_by_rid(rows, rid or 0).select("id", F.col("_rid").alias("rid"), F.col("_seq").alias("seq"), "record")
+
+
+@query
+def rid_conflicts(spark, sf_dir):
+    """Part keys as ids, brands' lengths as surrogate keys, so that there are conflicts."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("_rid")).distinct()
+    return merge.rid_conflicts(rows).select(F.col("_rid").alias("rid"), "n")
 
 
 @query
@@ -106,9 +125,29 @@ def oplog_delete(spark, sf_dir):
     return rows.select("ord", "id", F.col("_seq").alias("seq"), F.col("_rid").alias("rid"), tombstone(F.col("id"), F.col("_rid"), F.col("_seq")).alias("record"))
 
 
+def _lines(spark, sf_dir) -> DataFrame:
+    """events as the lines of block files, the properties inside the record."""
+    n = F.col("line_no").cast("string")
+    text = F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","_oid":'), F.col("_oid").cast("string"), F.lit(',"_rid":'), n, F.lit(',"_seq":'), n, F.lit(',"props":'), F.col("record"), F.lit("}"))
+    return log(spark, sf_dir).select("bid", "line_no", text.alias("line"))
+
+
+@query
+def parse_block(spark, sf_dir):
+    return parse_lines(_lines(spark, sf_dir)).select("bid", "line_no", "id", F.col("_oid").alias("oid"), F.col("_rid").alias("rid"), F.col("_seq").alias("seq"), "record")
+
+
 @query
 def load_block(spark, sf_dir):
-    return merge.last_lines(log(spark, sf_dir)).select("bid", "id", "line_no", F.col("_oid").alias("oid"), "record")
+    rows = merge.last_lines(parse_lines(_lines(spark, sf_dir)))
+    return rows.select("bid", "id", "line_no", F.col("_oid").alias("oid"), F.col("_seq").alias("seq"), "record")
+
+
+@query
+def error_rows(spark, sf_dir):
+    """What a store with on_error leaves out."""
+    lines = table(spark, sf_dir, "events").select(F.lit("b").alias("bid"), F.col("event_id").alias("line_no"), _odd_record().alias("line"))
+    return parse_lines(lines, strict=False).where("error is not null").select("line_no", "error")
 
 
 @query
@@ -124,7 +163,7 @@ def seq_stats(spark, sf_dir):
 
 @query
 def seq_stats_by_block(spark, sf_dir):
-    return blocks.sequence_stats(stamped_current(spark, sf_dir), "bid")
+    return blocks.sequence_stats(stamped(spark, sf_dir), "bid")
 
 
 @query
@@ -135,14 +174,13 @@ def stale_bytes(spark, sf_dir):
 
 @query
 def stale_delta(spark, sf_dir):
-    from pyspark.sql import Window
-
     by_key = Window.partitionBy("id").orderBy("ord")
     text = F.when(F.col("op") == DELETE, tombstone(F.col("id"), F.col("_rid"), F.col("_seq"))).otherwise(F.col("record"))
     rows = stamped(spark, sf_dir).withColumn("length", utf16_length(text))
-    there = F.lag("op").over(by_key) == SET
-    changes = rows.select(F.col("bid").alias("new_bid"), F.col("length").alias("new_length"), F.when(there, F.lag("bid").over(by_key)).alias("old_bid"), F.when(there, F.lag("length").over(by_key)).alias("old_length"))
-    return blocks.stale_delta(changes)
+    before = F.lag(F.struct("op", "bid", "length")).over(by_key)
+    changes = rows.select(F.col("bid").alias("new_bid"), F.col("length").alias("new_length"), before.alias("before"))
+    old = F.when(F.col("before.op") == SET, F.col("before"))
+    return blocks.stale_delta(changes.select("new_bid", "new_length", old["bid"].alias("old_bid"), old["length"].alias("old_length")))
 
 
 @query
@@ -152,12 +190,58 @@ def compaction_candidates(spark, sf_dir):
 
 @query
 def compact_block(spark, sf_dir):
-    rows = log(spark, sf_dir)
-    last = rows.agg(F.max(F.col("bid").cast("long")).cast("string").alias("bid"))
-    own = current(spark, sf_dir).join(F.broadcast(last), "bid")  # one row
-    from pyspark.sql import Window
+    """The middle one of the blocks that have current rows: a tombstone stays only where an
+    older version of its key lies in another block."""
+    rows = log(spark, sf_dir).withColumn("bid", (F.col("line_no") % 8).cast("string"))
+    return blocks.compact(merge.current(rows), "4", rows).select("bid", "id", "line_no", F.col("_oid").alias("oid"), "record")
+
+
+@query
+def block_pack_whole(spark, sf_dir):
+    """One stream."""
+    return blocks.pack(table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("ord"), F.octet_length("text").cast("long").alias("size")), "ord", "size", 2000)
+
 
-    return own.select("bid", "id", F.row_number().over(Window.partitionBy("bid").orderBy("_seq")).cast("long").alias("line_no"), F.col("_oid").alias("oid"), "record")
+def _store(spark, sf_dir, name, **options):
+    """A store in the shared folder that events have been applied to in two batches, opened again."""
+    from tidelog.plans.store import open_store
+
+    at = f"{_shared(spark)}/store-{name}-{uuid.uuid4().hex}"
+    db = open_store(spark, dir_path=at, max_block_size=64 * 1024, **options)
+    rows = ops(spark, sf_dir).select(*(c.split()[0] for c in OPS_SCHEMA.split(", ")))
+    half = rows.agg((F.max("ord") / 2).cast("long")).first()[0]
+    for part in (rows.where(F.col("ord") <= half), rows.where(F.col("ord") > half)):
+        db.apply(part)
+    db.close()
+    return open_store(spark, dir_path=at, max_block_size=64 * 1024, **options)
+
+
+@query
+def store_open(spark, sf_dir):
+    """Append, commit, open, block scan, parse and merge: what a reopened store holds."""
+    db = _store(spark, sf_dir, "open", cached_fields=["k"])
+    return db.live.select("id", F.col("_seq").alias("seq"), F.col("_rid").alias("rid"), F.element_at("cache", "k").alias("k"))
+
+
+@query
+def store_compact(spark, sf_dir):
+    """The same, after compaction by threshold and another opening."""
+    db = _store(spark, sf_dir, "compact", stale_data_threshold=0.2)
+    db.maintain()
+    at = db.options.dir_path
+    db.close()
+    from tidelog.plans.store import open_store
+
+    return open_store(spark, dir_path=at).live.select("id", F.col("_seq").alias("seq"), F.col("_rid").alias("rid"))
+
+
+@query
+def store_lookups(spark, sf_dir):
+    """has and get for a table of keys."""
+    db = _store(spark, sf_dir, "lookups")
+    keys = customers(spark, sf_dir)
+    got = db.get_many(keys).select("id", F.col("_seq").alias("seq"))
+    return db.has_many(keys).join(got, "id", "left")
 
 
 @query
@@ -173,8 +257,9 @@ def utf16_units(spark, sf_dir):
 
 @query
 def project_field(spark, sf_dir):
-    fields = project_fields(F.col("props"), ["k", "absent"])
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(fields, "k").alias("k"), F.size(fields).cast("long").alias("n_fields"))
+    rows = with_value(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    rows = rows.select("event_id", project_fields(F.col("_value"), ["k", "absent"]).alias("fields"))
+    return rows.select("event_id", F.element_at("fields", "k").alias("k"), F.size("fields").cast("long").alias("n_fields"))
 
 
 def _odd_record() -> Column:
@@ -194,7 +279,19 @@ def _odd_record() -> Column:
 
 @query
 def validate_records(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(record_error(_odd_record()), F.lit("ok")).alias("error"))
+    rows = with_error(table(spark, sf_dir, "events").select("event_id", _odd_record().alias("line")))
+    return rows.select("event_id", F.coalesce("error", F.lit("ok")).alias("error"))
+
+
+@query
+def block_scan(spark, sf_dir):
+    """Pages as files: what follows the last line's end is dropped."""
+    return number_lines(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("bid"), F.regexp_replace("html", "\n+", "\n").alias("html")), "html", name="bid")
+
+
+@query
+def custom_break(spark, sf_dir):
+    return number_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ". ")
 
 
 @query
@@ -206,6 +303,10 @@ def _users(spark, sf_dir, kind):
     return bitset.bitset(table(spark, sf_dir, "events").where(F.col("event_type") == kind), "user_id")
 
 
+def _orders(spark, sf_dir, flag):
+    return bitset.bitset(table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag), "l_orderkey")
+
+
 @query
 def bitset_union(spark, sf_dir):
     return bitset.union(_users(spark, sf_dir, "click"), _users(spark, sf_dir, "view"))
@@ -218,12 +319,35 @@ def bitset_intersection(spark, sf_dir):
 
 @query
 def bitset_difference(spark, sf_dir):
-    return bitset.difference(_users(spark, sf_dir, "click"), _users(spark, sf_dir, "purchase"))
+    return bitset.difference(_orders(spark, sf_dir, "R"), _orders(spark, sf_dir, "A"))
 
 
 @query
 def bitset_clear(spark, sf_dir):
-    return bitset.clear_multiple(_users(spark, sf_dir, "view"), _users(spark, sf_dir, "error"))
+    return bitset.clear_multiple(_orders(spark, sf_dir, "N"), _orders(spark, sf_dir, "R"))
+
+
+@query
+def bitset_set(spark, sf_dir):
+    return bitset.set_multiple(_orders(spark, sf_dir, "A"), _orders(spark, sf_dir, "R"))
+
+
+@query
+def bitset_resize(spark, sf_dir):
+    return bitset.capacity(_orders(spark, sf_dir, "A"), 100_000_000)
+
+
+@query
+def bitset_packed_union(spark, sf_dir):
+    """Sizes of the union, through bitmaps."""
+    both = bitset.packed_union(bitset.packed(_orders(spark, sf_dir, "A")), bitset.packed(_orders(spark, sf_dir, "R")))
+    return both.agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
+
+
+@query
+def bitset_packed_intersection(spark, sf_dir):
+    both = bitset.packed_intersection(bitset.packed(_orders(spark, sf_dir, "A")), bitset.packed(_orders(spark, sf_dir, "R")))
+    return both.agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
 
 
 @query
@@ -273,6 +397,61 @@ def lower_bound(spark, sf_dir):
     return sorted_index.lower_bound(keys, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey", stride=2)
 
 
+@query
+def compound_lower_bound(spark, sf_dir):
+    """Rows of three cells; probes are the lines' order keys with the numbers of the lines after them."""
+    rows = table(spark, sf_dir, "lineitem")
+    probes = rows.select("l_orderkey", (F.col("l_linenumber") + 1).cast("long").alias("line"))
+    index = rows.select("l_orderkey", "l_linenumber").distinct()
+    return sorted_index.lower_bound_compound(index, ["l_orderkey", "l_linenumber"], probes, ["l_orderkey", "line"], stride=3)
+
+
+def _cells(spark, sf_dir):
+    """Each order's part keys, by line, as a list of cells."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("rows"))
+    return rows.select("l_orderkey", F.transform("rows", lambda r: r["l_partkey"]).alias("cells"))
+
+
+@query
+def cell_get_set(spark, sf_dir):
+    """A cell, one out of range, and the list's sum after a cell is set to -1 (4294967295)."""
+    rows = _cells(spark, sf_dir)
+    changed = cells.set_cell(F.col("cells"), F.size("cells") - 1, F.lit(-1))
+    return rows.select("l_orderkey", cells.cell(F.col("cells"), F.lit(1)).alias("second"), cells.cell(F.col("cells"), F.lit(-1)).alias("before"), F.aggregate(changed, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query
+def cell_push_pop(spark, sf_dir):
+    rows = _cells(spark, sf_dir).withColumn("more", cells.push(F.col("cells"), F.lit(4294967297)))
+    return rows.select("l_orderkey", cells.popped(F.col("more")).alias("last"), F.size("more").cast("long").alias("length"), F.size(cells.without_last(F.col("more"))).cast("long").alias("left"), cells.popped(cells.without_last(F.slice("cells", 1, 1))).alias("none"))
+
+
+@query
+def cell_growth(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return rows.select("doc_id", cells.grown(F.col("n_chars"), F.greatest(F.col("n_chars"), F.lit(1024))).alias("capacity"))
+
+
+@query
+def cell_rows(spark, sf_dir):
+    """Cells two by two."""
+    rows = _cells(spark, sf_dir).select("l_orderkey", F.posexplode(sorted_index.rows_of(F.col("cells"), 1, 1)).alias("row", "pair"))
+    return rows.select("l_orderkey", F.col("row").cast("long").alias("row"), F.get("pair", F.lit(0)).alias("key"), F.get("pair", F.lit(1)).alias("value"))
+
+
+@query
+def cell_index_of(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("cells"))
+    return rows.select("l_orderkey", cells.index_of(F.col("cells"), F.lit(3)).alias("place"))
+
+
+@query
+def split_fields(spark, sf_dir):
+    """The fifth and the ninth of five fields."""
+    row = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in ("event_id", "user_id", "event_type", "value", "props")))
+    return table(spark, sf_dir, "events").select("event_id", split_part(row, 5).alias("fifth"), split_part(row, 9).alias("ninth"))
+
+
 @query
 def compound_compare(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
@@ -289,8 +468,7 @@ def stream_latest(spark, sf_dir):
     """kv_live, followed as a stream."""
     from tidelog.streaming.changes import follow, state
 
-    named = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-")).rstrip("/")
-    at = f"{named}/stream-{uuid.uuid4().hex}"
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     changes = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(
         F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") == "error", DELETE).otherwise(SET).alias("_oid"), F.col("event_id").alias("_seq"), F.col("props").alias("record")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,10 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import encode, project_fields, tombstone
-from tidelog.model import DELETE, OPS_SCHEMA, SET, Options
+from tidelog.functions.text import encode, project_fields, tombstone, with_value
+from tidelog.model import DELETE, LOG_SCHEMA, OPS_SCHEMA, SET, Options
 from tidelog.operators import blocks, merge, oplog
-from tidelog.sources import blocks as files
+from tidelog.sources.storage import DirectoryStorage, Storage
+
+#: Most keys that single calls hold on the driver; a larger store is asked by a query for each.
+HELD_KEYS = 100_000
+#: Batches whose views are laid over one another before the log is read again, single changes too,
+#: and messages that on_error gets.
+LAYERS, CHANGES, MESSAGES = 16, 10_000, 100
 
 
 def stamped_text(record: str, id_: str, seq: int, rid: int) -> str:
@@ -28,28 +35,57 @@ def stamped_text(record: str, id_: str, seq: int, rid: int) -> str:
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"_seq": b["_seq"], "record": [stamped_text(r, i, s, k) for r, i, s, k in zip(b["record"], b["id"], b["_seq"], b["_rid"], strict=True)]})
+        yield b[["id", "_seq", "_rid"]].assign(record=[stamped_text(r, i, s, k) for r, i, s, k in zip(b["record"], b["id"], b["_seq"], b["_rid"], strict=True)])
 
 
 class Store:
-    """An open store.  Views are DataFrames; a commit makes new block files and new views."""
+    """An open store.  Views are DataFrames; a commit makes new blocks and a new view, which is
+    the one before and the batch, merged; the log is not read again.
+
+    Single calls work on the driver while the store has at most HELD_KEYS keys, each change a
+    line that is flushed to an open block; they are for small stores and few keys."""
 
-    def __init__(self, spark: SparkSession, **options: Any):
+    def __init__(self, spark: SparkSession, storage: Storage | None = None, **options: Any):
         self.spark = spark
         self.options = Options.of(options)
         self.opened = True
-        files.ensure_dir(spark, self.options.dir_path)
-        self._current: DataFrame | None = None
+        self.storage = storage or DirectoryStorage(spark, self.options.dir_path)
+        self.storage.ensure()
+        self._base: DataFrame | None = None
+        self._persisted: list[DataFrame] = []
+        self._writer = None
+        self._locked: set[str] = set()
+        self._maintained = 0.0
         self._load()
 
+    # state: _base is a view of committed rows; _changes holds the rows of single calls since it
+    # was made; _held, if the store is small, has every key's row
+
     def _load(self) -> None:
-        if self._current is not None:
-            self._current.unpersist()
-        self.log = files.load(self.spark, self.options.dir_path)
-        self._current = merge.current(self.log).persist()
+        names = self.storage.blocks()
+        if self.options.on_error:
+            found = self.storage.load(names, strict=False)
+            self.errors = found.where("error is not null").select("bid", "line_no", F.col("record").alias("line"), "error")
+            for r in self.errors.orderBy("bid", "line_no").limit(MESSAGES).collect():
+                self.options.on_error(r["error"])
+            self.log = found.where("error is null").drop("error")
+        else:
+            self.errors = self.spark.createDataFrame([], "bid string, line_no long, line string, error string")
+            self.log = self.storage.load(names)
+        self._view(merge.current(self.log), fresh=True)
         row = self.log.agg(F.max("_seq"), F.max("_rid")).first()
         self.seq, self.rid = (int(x or 0) for x in row)
-        self._current.count()  # a bad line fails the opening
+        self._size = self._base.count()  # a bad line fails the opening
+
+    def _view(self, base: DataFrame, fresh: bool = False) -> None:
+        """A new view; with `fresh` it rests on the log alone."""
+        old = self._persisted if fresh else []
+        self._base = base.persist()
+        self._persisted = [self._base] if fresh else [*self._persisted, self._base]
+        self._changes: dict[str, tuple] = {}
+        self._held: dict[str, tuple] | None = None
+        for df in old:
+            df.unpersist()
 
     def _check(self, id_: Any = "-") -> None:
         if not id_:
@@ -59,14 +95,34 @@ class Store:
         if not self.opened:
             raise RuntimeError("Db should be opened before operation. Make sure you are not using a closed instance of Db.")
 
+    def _rows(self) -> DataFrame:
+        """One row for each key, tombstones included."""
+        if not self._changes:
+            return self._base
+        changed = self.spark.createDataFrame(list(self._changes.values()), LOG_SCHEMA)  # at most CHANGES
+        return self._base.join(F.broadcast(changed.select("id")), "id", "left_anti").unionByName(changed)
+
+    def _find(self, id_: str) -> tuple | None:
+        """The row of a key (LOG_SCHEMA), a tombstone too."""
+        if id_ in self._changes:
+            return self._changes[id_]
+        if self._held is None and self._size <= HELD_KEYS:
+            self._held = {r["id"]: tuple(r) for r in self._base.select(*_columns()).collect()}
+        if self._held is not None:
+            return self._held.get(id_)
+        found = self._base.where(F.col("id") == id_).select(*_columns()).take(1)
+        return tuple(found[0]) if found else None
+
     # views
 
     @property
     def current(self) -> DataFrame:
         """One row for each key, tombstones included; with cached_fields, `cache` has them."""
         self._check()
-        out = self._current
-        return out.withColumn("cache", project_fields(F.col("record"), self.options.cached_fields)) if self.options.cached_fields else out
+        out = self._rows()
+        if not self.options.cached_fields:
+            return out
+        return with_value(out, "record").select(*out.columns, project_fields(F.col("_value"), self.options.cached_fields).alias("cache"))
 
     @property
     def live(self) -> DataFrame:
@@ -76,19 +132,22 @@ class Store:
 
     def close(self) -> None:
         self._check()
-        self._current.unpersist()
+        self._roll()
+        for df in self._persisted:
+            df.unpersist()
         self.opened = False
 
     def has(self, id_: str) -> bool:
         self._check(id_)
-        return bool(merge.live(self._current).where(F.col("id") == id_).select("id").take(1))
+        row = self._find(id_)
+        return row is not None and row[1] != DELETE
 
     def get(self, id_: str) -> dict[str, Any] | None:
         self._check(id_)
-        found = merge.live(self._current).where(F.col("id") == id_).select("record").take(1)
-        if not found:
+        row = self._find(id_)
+        if row is None or row[1] == DELETE:
             return None
-        value = json.loads(found[0]["record"])
+        value = json.loads(row[6])
         if not value.get("id"):
             raise RuntimeError("INTERNAL: id missing in value")
         if value["id"] != id_:
@@ -98,72 +157,146 @@ class Store:
     def set(self, id_: str, value: dict[str, Any]) -> dict[str, Any]:
         """Replaces the record; returns it with its system fields.  `value` is not changed."""
         self._check(id_)
-        self.apply([(0, id_, SET, encode(value))])
-        return self.get(id_)
+        row = self._find(id_)
+        there = row is not None and (row[1] != DELETE or self.options.reload_rule)
+        rid = row[2] if there else self.rid + 1
+        text = stamped_text(encode(value), id_, self.seq + 1, rid)
+        self._put(id_, SET, rid, text)
+        return json.loads(text)
 
     def delete(self, id_: str) -> None:
+        """Nothing happens where the key is not there."""
         self._check(id_)
-        self.apply([(0, id_, DELETE, None)])
+        row = self._find(id_)
+        if row is not None and row[1] != DELETE:
+            self._put(id_, DELETE, row[2], encode({"id": id_, "_oid": DELETE, "_rid": row[2], "_seq": self.seq + 1}))
+
+    def _put(self, id_: str, oid: int, rid: int, text: str) -> None:
+        """Writes a line to the open block, or to a new one if there is none or it is full."""
+        if self._writer is not None and (self._writer.size >= self.options.max_block_size or self._writer.name in self._locked):
+            self._roll()
+        if self._writer is None:
+            self._writer, self._lines = self.storage.writer(self.seq + 1), 0
+            self.storage.commit([self._writer.name])
+        self._writer.write(text)
+        self._lines += 1
+        self.seq, self.rid = self.seq + 1, max(self.rid, rid)
+        self._changes[id_] = (id_, oid, rid, self.seq, self._writer.name, self._lines, text)
+        if len(self._changes) >= CHANGES and (self._held is None or self._size + len(self._changes) > HELD_KEYS):
+            self._roll()
+            self._load()
+
+    def _roll(self) -> None:
+        """Closes the open block."""
+        if self._writer is not None:
+            self._writer.close()
+            self._writer = None
 
     # batch calls
 
     def has_many(self, keys: DataFrame, key: str = "id") -> DataFrame:
         self._check()
-        return merge.has_many(self._current, keys, key)
+        return merge.has_many(self._rows(), keys, key)
 
     def get_many(self, keys: DataFrame, key: str = "id") -> DataFrame:
         self._check()
-        return merge.get_many(self._current, keys, key)
+        return merge.get_many(self._rows(), keys, key)
 
     def apply(self, ops: DataFrame | list[tuple]) -> list[str]:
-        """Applies sets and deletes in the order of `ord` and commits them; returns the new
-        blocks.  Keys that are null or empty are refused."""
+        """Applies sets and deletes in the order of `ord` and commits them, all or none; returns the
+        new blocks.  Keys that are null or empty are refused."""
         self._check()
+        self._roll()
         if isinstance(ops, list):
             ops = self.spark.createDataFrame(ops, OPS_SCHEMA)
         checked = F.when((F.col("id").isNull()) | (F.col("id") == ""), F.raise_error(F.lit("id is required")).cast("string")).otherwise(F.col("id"))
         ops = ops.withColumn("id", checked)
-        known = self._current if self.options.reload_rule else merge.live(self._current)
-        stamped = oplog.stamp(ops, known, self.seq, self.rid).persist()
+        rows = self._rows()
+        known = rows if self.options.reload_rule else merge.live(rows)
+        stamped = oplog.stamp(ops, known, self.seq, self.rid)
+        sets = stamped.where(F.col("op") == SET).select("id", "record", "_seq", "_rid").mapInPandas(_texts, "id string, _seq long, _rid long, record string")
+        gone = oplog.deletes(stamped).select("id", "_seq", "_rid", tombstone(F.col("id"), F.col("_rid"), F.col("_seq")).alias("record"))
+        lines = sets.withColumn("_oid", F.lit(SET)).unionByName(gone.withColumn("_oid", F.lit(DELETE))).persist()
         try:
-            sets = stamped.where(F.col("op") == SET).select("id", "record", "_seq", "_rid").mapInPandas(_texts, "_seq long, record string")
-            gone = oplog.deletes(stamped).select("_seq", tombstone(F.col("id"), F.col("_rid"), F.col("_seq")).alias("record"))
-            size = stamped.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("record", F.lit(""))) + 80).alias("bytes")).first()
+            size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("record") + 1).alias("bytes"), F.max("_seq").alias("seq"), F.max("_rid").alias("rid")).first()
             if not size["n"]:
                 return []
-            names = files.append(sets.unionByName(gone), self.options.dir_path, self.seq + 1, math.ceil(size["bytes"] / self.options.max_block_size))
+            names = self.storage.append(lines, self.seq + 1, math.ceil(size["bytes"] / self.options.max_block_size))
+            self.storage.commit(names)
+            self._add(names)
         finally:
-            stamped.unpersist()
-        self._load()
+            lines.unpersist()
+        self.seq, self.rid = max(self.seq, size["seq"]), max(self.rid, size["rid"])
         return names
 
+    def _add(self, names: list[str]) -> None:
+        """Lays new blocks over the view."""
+        if len(self._persisted) >= LAYERS:
+            self._load()
+            return
+        added = self.storage.load(names)
+        self.log = self.log.unionByName(added)
+        self._view(merge.merge_blocks(self._rows().unionByName(merge.last_lines(added))))
+        self._size = self._base.count()
+
     # maintenance
 
     def blocks(self) -> DataFrame:
-        """bid, size, live_chars, stale_bytes: sizes in UTF-8 bytes, a newline for each line."""
+        """bid, size, live_chars, stale_bytes, locked: sizes in UTF-8 bytes, a newline for each line."""
         self._check()
         length = F.octet_length("record").cast("long") + 1
-        return blocks.stale_bytes(files.block_stats(self.spark, self.options.dir_path), self._current, length)
+        locked = F.col("bid").isin(sorted(self._locked)) if self._locked else F.lit(False)
+        return blocks.stale_bytes(self.storage.stats(), self._rows(), length).withColumn("locked", locked)
 
     def candidates(self) -> DataFrame:
         return blocks.candidates(self.blocks(), self.options.stale_data_threshold)
 
+    def maintain(self, now: float | None = None) -> list[str]:
+        """Compacts the blocks whose stale share reaches the threshold, if the last run is
+        compact_delay ago; returns them.  Blocks that are locked are left out."""
+        self._check()
+        now = time.time() if now is None else now
+        if (now - self._maintained) * 1000 < self.options.compact_delay:
+            return []
+        self._maintained = now
+        self._roll()
+        done = []
+        for r in self.candidates().where("not locked").orderBy("bid").select("bid").collect():  # names of blocks
+            self.compact(r["bid"])
+            done.append(r["bid"])
+        return done
+
     def compact(self, bid: str) -> None:
-        """Rewrites a block with the rows that still count; the old file stays as `.old`."""
+        """Writes the rows of a block that still count to a new one, which takes its place in one
+        commit; the old file stays as `.old`."""
         self._check()
-        path = self.options.dir_path
-        if bid not in files.list_files(self.spark, path):
+        if self._writer is not None and self._writer.name == bid:
+            self._roll()
+        if bid not in self.storage.blocks():
             raise KeyError("Block not found")
-        kept = blocks.compact(self._current, bid, self.log)
-        aside = f"{path}/compacted-{bid}"
-        files.ensure_dir(self.spark, aside)
-        made = files.append(kept, aside, 0)
-        files.rename_block(self.spark, path, bid, f"{bid}.old")
-        for name in made:
-            files.rename_block(self.spark, path, f"compacted-{bid}/{name}", bid)
-        fs, at, _ = files._fs(self.spark, aside)
-        fs.delete(at, True)
-        self._load()
+        if bid in self._locked or not self.storage.lock(bid):
+            raise RuntimeError("Block is already locked")
+        self._locked.add(bid)
+        try:
+            # the log without what single calls have written since: it has no line that is missing there
+            log = self.storage.load(self.storage.blocks()) if self._changes else self.log
+            kept = blocks.compact(self._rows(), bid, log)
+            first = int(kept.agg(F.coalesce(F.min("_seq"), F.lit(0))).first()[0])
+            made = self.storage.append(kept, first, 1, tag=f"c{self.seq}-{int(time.time() * 1000)}-")
+            self.storage.commit(made, [bid])
+            self.storage.rename(bid, f"{bid}.old")
+            self._load()
+        finally:
+            self._locked.discard(bid)
+            self.storage.unlock(bid)
+
+    def unlock(self, bid: str) -> None:
+        """Frees a block that a crashed compaction has left locked."""
+        self.storage.unlock(bid)
+
+
+def _columns() -> list[str]:
+    return [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
 def open_store(spark: SparkSession, **options: Any) -> Store:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import parsed, record_error
+from tidelog.functions.text import with_error
 from tidelog.model import EXTENSION, LOG_SCHEMA
 
 
@@ -51,10 +51,12 @@ def delete_block(spark: SparkSession, path: str, bid: str) -> None:
     fs.delete(make(f"{path}/{bid}"), False)
 
 
-def block_stats(spark: SparkSession, path: str) -> DataFrame:
-    """bid and size in bytes of each block file."""
-    fs, _, make = _fs(spark, path)
-    rows = [(n, fs.getFileStatus(make(f"{path}/{n}")).getLen()) for n in list_files(spark, path)]
+def block_stats(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """bid and size in bytes of each block file (of `names` alone, if given), from one listing."""
+    fs, at, _ = _fs(spark, path)
+    wanted = None if names is None else set(names)
+    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(at) if s.isFile()]
+    rows = sorted((n, size) for n, size in found if (n.endswith(EXTENSION) if wanted is None else n in wanted))
     return spark.createDataFrame(rows, "bid string, size long")
 
 
@@ -74,34 +76,38 @@ def number_lines(texts: DataFrame, text: str, separator: str = "\n", name: str |
     return rows.select(*rest, (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
 
 
-def read_lines(spark: SparkSession, path: str, separator: str = "\n", extension: str = EXTENSION) -> DataFrame:
-    """bid, line_no, line of all block files of a directory.  A file is read by one task:
-    files are blocks, and blocks are bounded in size."""
-    if not list_files(spark, path, extension):
+def read_lines(spark: SparkSession, path: str, separator: str = "\n", extension: str = EXTENSION, names: list[str] | None = None) -> DataFrame:
+    """bid, line_no, line of the block files of a directory (of `names` alone, if given).  A file
+    is read by one task: files are blocks, and blocks are bounded in size."""
+    names = list_files(spark, path, extension) if names is None else names
+    if not names:
         return spark.createDataFrame([], "bid string, line_no long, line string")
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}").select(F.col("_metadata.file_name").alias("bid"), "value")
+    files = spark.read.text([f"{path}/{n}" for n in names], wholetext=True).select(F.col("_metadata.file_name").alias("bid"), "value")
     return number_lines(files, "value", separator, "bid")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """LOG_SCHEMA of bid, line_no, line; a line that is no record fails the query."""
-    wrong = record_error(F.col("line"))
-    value = parsed(F.col("line"))
-    message = F.concat(F.lit("Invalid JSON entry in "), F.col("bid"), F.lit(" at lineNo:"), F.col("line_no").cast("string"), F.lit(": "), wrong)
-    id_ = F.when(wrong.isNull(), F.try_variant_get(value, "$.id", "string")).otherwise(F.raise_error(message).cast("string"))
-    numbers = [F.try_variant_get(value, f"$.{n}", "double").cast(k).alias(n) for n, k in (("_oid", "int"), ("_rid", "long"), ("_seq", "long"))]
-    return lines.select(id_.alias("id"), *numbers, "bid", "line_no", F.col("line").alias("record"))
+def parse_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """LOG_SCHEMA of bid, line_no, line; a line that is no record fails the query, or, if not
+    `strict`, has its fault as `error`."""
+    found = with_error(lines.select("bid", "line_no", "line"))
+    message = F.concat(F.lit("Invalid JSON entry in "), F.col("bid"), F.lit(" at lineNo:"), F.col("line_no").cast("string"), F.lit(": "), F.col("error"))
+    id_ = F.try_variant_get("_value", "$.id", "string")
+    if strict:
+        id_ = F.when(F.col("error").isNull(), id_).otherwise(F.raise_error(message).cast("string"))
+    numbers = [F.try_variant_get("_value", f"$.{n}", "double").cast(k).alias(n) for n, k in (("_oid", "int"), ("_rid", "long"), ("_seq", "long"))]
+    return found.select(id_.alias("id"), *numbers, "bid", "line_no", F.col("line").alias("record"), *([] if strict else [F.when(F.col("error").isNotNull(), message).alias("error")]))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, names: list[str] | None = None, strict: bool = True) -> DataFrame:
     """All lines of all blocks as records.  Repeated keys of an object: the last one counts."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    if not list_files(spark, path):
-        return spark.createDataFrame([], LOG_SCHEMA)
-    return parse_lines(read_lines(spark, path))
+    names = list_files(spark, path) if names is None else names
+    if not names:
+        return spark.createDataFrame([], LOG_SCHEMA if strict else f"{LOG_SCHEMA}, error string")
+    return parse_lines(read_lines(spark, path, names=names), strict)
 
 
-def append(records: DataFrame, path: str, first: int, files: int = 1) -> list[str]:
+def append(records: DataFrame, path: str, first: int, files: int = 1, tag: str = "") -> list[str]:
     """Writes rows (_seq, record) as new block files in _seq order; returns their names.
 
     Each batch has files of its own, written aside and renamed when all are whole, so a
@@ -113,8 +119,33 @@ def append(records: DataFrame, path: str, first: int, files: int = 1) -> list[st
     ordered.sortWithinPartitions("_seq").select("record").write.text(aside, lineSep="\n")
     fs, at, make = _fs(spark, aside)
     parts = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-") and s.getLen())
-    names = [f"b{first:018d}-{i:05d}{EXTENSION}" for i in range(len(parts))]
+    names = [block_name(first, f"{tag}{i:05d}") for i in range(len(parts))]
     for part, name in zip(parts, names, strict=True):
         fs.rename(make(f"{aside}/{part}"), make(f"{path}/{name}"))
     fs.delete(at, True)
     return names
+
+
+def block_name(first: int, tag: str) -> str:
+    """Blocks of later numbers sort later."""
+    return f"b{first:018d}-{tag}{EXTENSION}"
+
+
+class LineWriter:
+    """An open block file that takes lines one at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        fs, _, make = _fs(spark, path)
+        if hasattr(fs, "getRawFileSystem"):  # a checksummed local file shows what was flushed only when it is closed
+            fs = fs.getRawFileSystem()
+        self.name, self.size = name, 0
+        self.out = fs.create(make(f"{path}/{name}"), False)
+
+    def write(self, line: str) -> None:
+        data = f"{line}\n".encode()
+        self.out.write(bytearray(data))
+        self.out.hflush()
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
