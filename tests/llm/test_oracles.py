@@ -23,4 +23,4 @@ def test_query(spark, name):
     want = db.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)

@@ -41,6 +41,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What has been written and not dropped yet.
+OPEN: list[Saved] = []
+
+
 class Saved:
     """A written intermediate table: lineage ends here, and lost executors reread it."""
 
@@ -48,6 +52,7 @@ class Saved:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tidelog-{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
+        OPEN.append(self)
         df.write.option("compression", "zstd").parquet(self.path)
 
     @property
@@ -55,6 +60,8 @@ class Saved:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self in OPEN:
+            OPEN.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -67,7 +74,10 @@ class Chunks(Saved):
         self.spark = made.sparkSession
         self.name = f"tidelog_{label}_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
-        made.write.bucketBy(shuffle_partitions(self.spark), "chunk").option("path", self.path).option("compression", "uncompressed").format("parquet").saveAsTable(self.name)
+        OPEN.append(self)
+        n = shuffle_partitions(self.spark)
+        # dealt first, so that a bucket is one file and not one for each task that has a chunk of it
+        made.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", self.path).option("compression", "uncompressed").format("parquet").saveAsTable(self.name)
 
     @property
     def df(self) -> DataFrame:

@@ -58,4 +58,16 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(comp.least, v.vec_id) AS component_id, coalesce(comp.least, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN comp ON comp.x = v.vec_id
 """
 
-ORACLES = {"op5_suffix_dedup": OP5, "op6_jaccard_join": OP6, "op7_decontamination": OP7, "op10_embedding_dedup": OP10}
+# CRC-32 by its table of 256 entries, made from the polynomial 0xEDB88320 (fixed value).
+OP9 = """
+WITH RECURSIVE bits(n, c, k) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+t AS (SELECT list(c ORDER BY n) AS crc FROM bits WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, CAST(strlen(h) // 2 + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(h, '..'), lambda y: CAST('0x' || y AS BIGINT)) AS b FROM d),
+s AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, y: xor(crc[(xor(c, y) & 255) + 1], c >> 8))) AS text_crc32 FROM x, t),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM s),
+c AS (SELECT *, CAST(least(15, start * 16 // total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM c
+"""
+
+ORACLES = {"op5_suffix_dedup": OP5, "op6_jaccard_join": OP6, "op7_decontamination": OP7, "op9_sharding": OP9, "op10_embedding_dedup": OP10}
