@@ -303,6 +303,18 @@ def test_timing():
     assert said == [2, 7]
 
 
+def test_free_block(spark):
+    rows = [(0, "a", 150, False), (1, "b", 50, True), (2, "c", 50, False), (3, "d", 50, False)]
+    df = spark.createDataFrame(rows, "index long, bid string, size long, locked boolean")
+
+    def got(last, most=100):
+        return tuple(blocks.free_block(df, last, most).first())
+
+    assert [got(i) for i in (0, 1, 2, 3, 4, -1)] == [(2, "c"), (2, "c"), (2, "c"), (3, "d"), (2, "c"), (2, "c")]
+    assert got(0, 50) == (None, None) and got(1, 200) == (2, "c") and got(7, 200) == (0, "a")
+    assert tuple(blocks.free_block(df.where("index < 2"), 1, 100).first()) == (None, None)
+
+
 def test_pack_against_a_loop(spark):
     import random
 

@@ -51,6 +51,22 @@ def candidates(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.where((F.col("size") > 0) & (F.col("stale_bytes") / F.col("size") >= threshold))
 
 
+def free_block(blocks: DataFrame, last_used: int, most: int) -> DataFrame:
+    """One row: the index and bid of the block to write to next, nulls if it is a new one.
+
+    `blocks`: index (from 0, gapless), bid, size, locked.  The block that was used last is taken
+    if it is unlocked and below `most`, else the first such one after it, and none before it; an index
+    that is no block's counts as 0.  The size is looked at before a write, so blocks overshoot."""
+    free = ~F.col("locked") & (F.col("size") < most)
+
+    def first(start: int) -> Column:
+        return F.min(F.when(free & (F.col("index") >= start), F.struct("index", "bid")))
+
+    known = F.count("*") > last_used if last_used >= 0 else F.lit(False)
+    found = blocks.agg(F.when(known, first(max(last_used, 0))).otherwise(first(0)).alias("found"))
+    return found.select(F.col("found.index").alias("index"), F.col("found.bid").alias("bid"))
+
+
 def pack(rows: DataFrame, order: str, size: str, most: int, group: str | None = None) -> DataFrame:
     """Adds `block`, from 0: a row opens a block when the one before has reached `most`.
 

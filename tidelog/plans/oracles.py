@@ -28,6 +28,7 @@ checked AS (SELECT event_id, CASE WHEN NOT whole THEN 'not one JSON value' WHEN
         WHEN k[4] IS NULL THEN '_seq is missing' WHEN k[4] NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '_seq must be a number' ELSE 'ok' END AS error FROM kinds)"""
 PARSED = f"""{LOG}, lines AS (SELECT bid, line_no, '{{"id":"' || id || '","_oid":' || oid || ',"_rid":' || line_no || ',"_seq":' || line_no || ',"props":' || record || '}}' AS line FROM log),
 parsed AS (SELECT bid, line_no, line, json_extract_string(line, '$.id') AS id, CAST(json_extract(line, '$._oid') AS INTEGER) AS oid, CAST(json_extract(line, '$._rid') AS BIGINT) AS rid, CAST(json_extract(line, '$._seq') AS BIGINT) AS seq FROM lines)"""
+TEXT = """('{"k":' || json_extract_string(record, '$.k') || ',"id":"' || id || '","_seq":' || seq || ',"_rid":' || rid || ',"_oid":1}')"""
 CELLS = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS cells FROM lineitem GROUP BY l_orderkey"
 
 
@@ -73,6 +74,10 @@ ORACLES = {
         SELECT ord, size, block FROM w""",
     "store_open": f"WITH {STAMP} SELECT id, seq, rid, json_extract_string(record, '$.k') AS k FROM sc WHERE op <> 2",
     "store_compact": f"WITH {STAMP} SELECT id, seq, rid FROM sc WHERE op <> 2",
+    "oplog_existing": f"WITH {STAMP} SELECT ord, id, op, seq, rid FROM st",
+    "store_records": f"WITH {STAMP} SELECT id, {TEXT} AS record FROM sc WHERE op <> 2",
+    "store_sizes": f"WITH {STAMP}, a AS (SELECT sum(strlen(CASE WHEN op = 2 THEN {DEAD} ELSE {TEXT} END) + 1) AS size FROM st), l AS (SELECT sum(strlen(CASE WHEN op = 2 THEN {DEAD} ELSE {TEXT} END) + 1) AS live FROM sc) SELECT CAST(size AS BIGINT) AS size, CAST(live AS BIGINT) AS live_chars, CAST(size - live AS BIGINT) AS stale_bytes FROM a, l",
+    "free_block": "WITH b AS (SELECT s_suppkey - 1 AS i, s_name, s_suppkey * 37 % 100 AS size, s_suppkey % 3 = 0 AS locked FROM supplier) SELECT min(i) AS \"index\", arg_min(s_name, i) AS bid FROM b WHERE i >= 3 AND NOT locked AND size < 40",
     "store_lookups": f"WITH {STAMP}, {KEYS}, l AS (SELECT id, seq FROM sc WHERE op <> 2) SELECT k.id, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS present, l.seq FROM keys k LEFT JOIN l ON k.id = l.id",
     "block_pack": """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
         w AS (SELECT source, doc_id, n_chars, k, CAST(0 AS BIGINT) AS block, n_chars AS held FROM r WHERE k = 1

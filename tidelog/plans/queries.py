@@ -137,6 +137,18 @@ def parse_block(spark, sf_dir):
     return parse_lines(_lines(spark, sf_dir)).select("bid", "line_no", "id", F.col("_oid").alias("oid"), F.col("_rid").alias("rid"), F.col("_seq").alias("seq"), "record")
 
 
+@query
+def oplog_existing(spark, sf_dir):
+    """Two batches, the second against what the first has left."""
+    rows = ops(spark, sf_dir)
+    half = rows.agg((F.max("ord") / 2).cast("long")).first()[0]
+    first = oplog.stamp(rows.where(F.col("ord") <= half))
+    seq, rid = first.agg(F.coalesce(F.max("_seq"), F.lit(0)), F.coalesce(F.max("_rid"), F.lit(0))).first()
+    known = merge.live(merge.best(first.select("id", F.col("op").alias("_oid"), "_seq", "_rid"), ["id"], F.col("_seq")))
+    second = oplog.stamp(rows.where(F.col("ord") > half), known, seq, rid)
+    return first.union(second.select(*first.columns)).select("ord", "id", "op", F.col("_seq").alias("seq"), F.col("_rid").alias("rid"))
+
+
 @query
 def load_block(spark, sf_dir):
     rows = merge.last_lines(parse_lines(_lines(spark, sf_dir)))
@@ -235,6 +247,26 @@ def store_compact(spark, sf_dir):
     return open_store(spark, dir_path=at).live.select("id", F.col("_seq").alias("seq"), F.col("_rid").alias("rid"))
 
 
+@query
+def store_records(spark, sf_dir):
+    """Texts as they are stored."""
+    return _store(spark, sf_dir, "records").live.select("id", "record")
+
+
+@query
+def store_sizes(spark, sf_dir):
+    """Listing, sizes, live and stale bytes of the block files, over all of them."""
+    found = _store(spark, sf_dir, "sizes").blocks()
+    return found.agg(*(F.sum(c).alias(c) for c in ("size", "live_chars", "stale_bytes")))
+
+
+@query
+def free_block(spark, sf_dir):
+    """Suppliers as blocks, every third one locked, the fourth used last."""
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - F.lit(1)).alias("index"), F.col("s_name").alias("bid"), (F.col("s_suppkey") * 37 % 100).alias("size"), (F.col("s_suppkey") % 3 == 0).alias("locked"))
+    return blocks.free_block(rows, 3, 40)
+
+
 @query
 def store_lookups(spark, sf_dir):
     """has and get for a table of keys."""
