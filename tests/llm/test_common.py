@@ -27,8 +27,10 @@ def graphs():
     yield []
 
 
-@pytest.mark.parametrize("edges", graphs())
-def test_components(spark, edges):
+@pytest.mark.parametrize("links", [1 << 20, 20])
+@pytest.mark.parametrize("edges", list(graphs()))
+def test_components(spark, monkeypatch, edges, links):
+    monkeypatch.setattr(common, "LINKS", links)  # few to a task: rounds between tasks, too
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["component"] for r in common.components(df, "t").collect()} == brute(edges)
 

@@ -50,6 +50,8 @@ def test_many_buckets(spark, monkeypatch):
     df = small(spark)
     monkeypatch.setattr(op5, "BUCKET_BYTES", 64)
     assert got(df, chunk_bytes=50_000) == brute(texts(df))
+    monkeypatch.undo()
+    assert got(df, chunk_bytes=50_000, portion=3) == brute(texts(df))
     import numpy as np
 
     a = op5.Anchors(np.arange(300), [hashlib.sha256(bytes([i % 256, i // 256])).hexdigest().encode() * 40 for i in range(300)])

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +206,7 @@ def by_group(names: list[str], key: str, work: Callable[[object, pa.Table], Iter
     as one table.  Callers bound what a key holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("groups")
         held: list[pa.RecordBatch] = []
         now: object = None
         k = names.index(key)
@@ -225,16 +227,47 @@ def by_group(names: list[str], key: str, work: Callable[[object, pa.Table], Iter
     return run
 
 
+#: Links, about, that one task takes at once.
+LINKS = 1 << 20
+
+
+def contract(links: DataFrame, tasks: int) -> DataFrame:
+    """Links (u, v) as links to the least node of each component that a task sees, v < u; tasks
+    take whole partitions and hold a forest, no more than a link for each of their nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("groups")
+        held, n = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                n += b.num_rows
+            if held and (b is None or n > 2 * LINKS):
+                forest = local_forest(*(np.concatenate(z) for z in zip(*held, strict=True)))
+                held, n = [forest], len(forest[0])
+        for u, v in held:
+            for lo in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000]), pa.array(v[lo : lo + 100_000])], names=["u", "v"])
+
+    return links.coalesce(tasks).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(a, b) links to (node, component): the smallest node reachable, for every node of an edge.
 
-    Alternating large-star and small-star rounds.  Each round is a partial aggregation
-    and a join, so a node of very many links is split by adaptive execution; each
+    Rounds of contraction inside tasks, of about LINKS links each, and, while there are several
+    tasks, of alternating large-star and small-star steps between them.  Such a step is a partial
+    aggregation and a join, so a node of very many links is split by adaptive execution; each
     round's table is written, and the rounds grow with the logarithm of the path length.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = save(e, f"{label}-cc")
+    now = save(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v"), f"{label}-cc")
     while True:
+        tasks = -(-now.df.count() // LINKS)
+        forest = save(contract(now.df, max(tasks, 1)), f"{label}-cc")
+        now.drop()
+        now = forest
+        if tasks <= 1:
+            break
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -249,7 +282,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if not heads.union(after.df.select("u", F.lit(1).alias("n"))).groupBy("u").agg(F.count("*").alias("n")).where("n > 1").take(1):
             break
     pairs = now.df
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +318,7 @@ def chunks(df: DataFrame, size: int, text: str, label: str) -> Chunks:
     at = df.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("chunks")
+        claim("groups")
         held: list[pa.RecordBatch] = []
         n = seq = 0
 

@@ -36,8 +36,10 @@ from tidelog.llm.words import BASE, BYTES, INVERSE, portions, powers, sliding_mi
 #: Bytes of a string, of a gram; bytes of text in a chunk and, about, for each bucket.
 T, K = 50, 20
 W = T - K + 1
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 LAST = np.uint64(2**64 - 1)
+#: Contexts, about, whose strings are sorted together.
+PORTION = 4096
 #: A group of one gram that is asked for more contexts than this is compared by hashed strings, spread out.
 WIDE = 20_000
 SAME, ASK, SPREAD = 1, 2, 3
@@ -93,7 +95,7 @@ class Anchors:
 
 
 def _load(blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, list[bytes], Anchors]:
-    claim("shingles")
+    claim("groups")
     t = read_chunk(blob)
     ids = t.column(id_col)
     known = ids.is_valid().to_numpy()
@@ -196,7 +198,7 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return best
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES, wide: int = WIDE, portion: int = PORTION) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
     `keep_text`, kept (the bytes left) and kept_text (these as text, less the rests of
     characters that were cut) added; columns of these names are replaced.
@@ -204,7 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are integers; rows of one id are no copies of each other, and rows without an id
     keep their text and are no one's source.  Null texts are empty.  Repeated rows each
     give a row, and an empty table gives none.  A gram asked for more than `wide` contexts is
-    compared spread out.
+    compared spread out; others are sorted about `portion` contexts at a time.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     store = chunks(docs, chunk_bytes, text_col, "texts")
@@ -297,10 +299,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def compare(bucket: object, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         got = [opened(x) for x in rows.column("blob").to_pylist()]
         at, doc, left, right = (np.concatenate([x[0][i] for x in got]) for i in range(4))
-        entry, back, body = strings(doc, left.astype(np.int64), right.astype(np.int64), np.concatenate([x[1] for x in got]), W - 1 + T)
+        rows_of = np.concatenate([x[1] for x in got])
+        gram = (BYTES[rows_of[:, W - 1 : W - 1 + K]] * powers(BASE, K)[:K]).sum(1)
+        order = np.argsort(gram, kind="stable")
         masks = np.zeros(len(at), np.uint32)
-        copy = copies(body, doc[entry])
-        np.bitwise_or.at(masks, entry[copy], np.uint32(1) << back[copy].astype(np.uint32))
+        # equal strings have equal anchors, so grams are sorted apart, a portion of them at a time
+        firsts = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        cuts = np.append(firsts[np.unique(np.searchsorted(firsts, np.arange(0, len(order), portion)).clip(max=len(firsts) - 1))], len(order))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            entry, back, body = strings(doc[own], left[own].astype(np.int64), right[own].astype(np.int64), rows_of[own], W - 1 + T)
+            copy = copies(body, doc[own][entry])
+            np.bitwise_or.at(masks, own[entry[copy]], np.uint32(1) << back[copy].astype(np.uint32))
         ends = np.cumsum([len(x[0][0]) for x in got])
         yield _batch(rows.column("chunk").to_pylist(), [bucket] * len(got), [pack(at[e - len(x[0][0]) : e], masks[e - len(x[0][0]) : e]) for e, x in zip(ends, got, strict=True)])
 

@@ -203,7 +203,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
     def opened(blob: bytes) -> tuple[pa.Table, list[np.ndarray], list[bytes | None], np.ndarray, np.ndarray]:
         """Rows of a chunk, their sets and the sets' digests, the rows that stand for a set (least
         row number), and these sets' distinct shingles."""
-        claim("shingles")
+        claim("groups")
         t = read_chunk(blob)
         sets = shingle_sets(_texts(t, text_col), shingle)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -321,17 +321,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         links = checked.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
         if not links.take(1):
             return
-        if labels is None:
-            labels = components(links, "sets").select(F.col("node").alias("uid"), F.col("component").alias("label"))
-            return
-        for end in ("a", "b"):  # only what new links join is labelled anew
-            links = links.join(labels.withColumnRenamed("uid", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-        merged = components(links, "sets").select(F.col("node").alias("label"), F.col("component").alias("new"))
-        known = labels.join(merged, "label", "left").select("uid", F.coalesce("new", "label").alias("label"))
-        alone = merged.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("uid"), F.col("new").alias("label"))
-        kept = save(known.union(alone), "labels")
-        temporary.append(kept)
-        labels = kept.df
+        if labels is not None:  # components so far, as links
+            links = links.union(labels.select("uid", "label"))
+        labels = components(links, "sets").select(F.col("node").alias("uid"), F.col("component").alias("label"))
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows (region, uid, size, rest) of regions that hold several components, with label and n, their number."""
@@ -419,6 +411,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
 
     def region(forest: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("groups")
             held = None
             for b in chain(batches, [None]):
                 t = pa.Table.from_batches([b]) if b is not None else None
@@ -440,7 +433,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: i
         return run
 
     # a fixed number of partitions: regions are small in bytes and large in work
-    parts = 4 * shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
     pool = leaves[0]
     for more in leaves[1:]:
         pool = pool.union(more)
