@@ -121,6 +121,13 @@ def task_id() -> int:
     return context.partitionId() if context else 0
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: what Python makes of a text is many times the text."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def text_or_empty(array: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in array.cast(pa.binary()).to_pylist()]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import task_id
+from tidelog.llm.common import slices, task_id
 
 #: Fixed bounds of the frequency summaries: entries counted at once in a task, sent by a
 #: task, and kept in the broadcast table; longest piece kept, in characters.
@@ -55,7 +55,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     held.update(bpe.pieces(t))
@@ -109,7 +109,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for b in batches:
+        for b in slices(batches):
             if encoder is None:
                 name = str(zlib.crc32(tier.value))
                 encoder = bpe.loaded(path, name)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, mix
+from tidelog.llm.common import claim, mix, slices
 
 #: Numbers that a regular expression's words hold beside letters (Unicode categories N but Nd), such as ½.
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
@@ -171,7 +171,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = [w for w in map(letters, text.split()) if w]
                 held[lang] = held.get(lang, 0) + np.bincount(gram_slots(words)[1], minlength=SLOTS)
@@ -202,14 +202,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", fit: bool =
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None
-        for b in batches:
+        for b in slices(batches, 512):
             if m is None:
                 claim("language")
                 m = Model([], np.zeros((SLOTS, 0)))
                 m.langs, m.table = sent.value
                 m.rows, m.facts = np.zeros((1024, len(m.langs))), np.zeros((1024, 2))
-            texts = b.column(text_at).to_pylist()
-            got = [x for lo in range(0, len(texts), 512) for x in m.predict_all(texts[lo : lo + 512])]
+            got = m.predict_all(b.column(text_at).to_pylist())
             made = [[x[0] for x in got], [x[1] for x in got], [list(x[2].items()) for x in got], [x[3] for x in got]]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(made, kinds.values()))], names=[*b.schema.names, *kinds])
 

@@ -17,7 +17,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import text_or_empty
+from tidelog.llm.common import slices, text_or_empty
 from tidelog.llm.licences import CATEGORY, OWNER, owned, rules, sentence_table
 
 #: Sentence ends become 0x01 (blank lines are so before), new lines stay, other bytes that are no ASCII letter or digit are spaces.
@@ -110,7 +110,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strict = ["restricted", "copyleft", "permissive", "public-domain"]
-        for b in batches:
+        for b in slices(batches, 2000):
             rows = []
             for text in text_or_empty(b.column(at)):
                 spans = sentences(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, save, text_or_empty
+from tidelog.llm.common import claim, save, slices, text_or_empty
 from tidelog.llm.words import Words, grams, mask, portions, sliding_min
 
 IS_WORD = mask([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = None
-            for b in batches:
+            for b in slices(batches, 2000):
                 if index is None:
                     claim("windows")
                     index = Index(sent.value)

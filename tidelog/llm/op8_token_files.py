@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import shuffle_partitions, task_id
+from tidelog.llm.common import shuffle_partitions, slices, task_id
 
 MAGIC = b"TLBP"
 #: Ids in a block, and in a file (a longer document has a file of its own).
@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             content = encode_file(names, [len(r) // 4 for r in raws], ids, planes)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["shard", "file", "first_id", "n_docs", "n_ids", "content"])
 
-        for b in batches:
+        for b in slices(batches):
             doc_ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for lo in range(0, len(texts), 256):
                 for name, raw in zip(doc_ids[lo : lo + 256], encoder.id_bytes(texts[lo : lo + 256]), strict=True):

@@ -81,7 +81,7 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def portions(texts: list[bytes], most: int = 1 << 20):
+def portions(texts: list[bytes], most: int = 1 << 18):
     """(lo, hi) of portions of about `most` bytes; a longer text stands alone."""
     lo = size = 0
     for i, t in enumerate(texts):
