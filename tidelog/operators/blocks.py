@@ -112,12 +112,13 @@ def pack(rows: DataFrame, order: str, size: str, most: int, group: str | None =
     return dealt.mapInArrow(fold, f"{schema}, block long")
 
 
-def compact(current: DataFrame, bid: str, log: DataFrame | None = None) -> DataFrame:
-    """Rows that a block keeps, with new line numbers in _seq order.
+def compact(current: DataFrame, bids: str | list[str], log: DataFrame | None = None) -> DataFrame:
+    """Rows that a block, or several together, keep, with new line numbers in each in _seq order.
 
     A tombstone stays while an older version of its key lies in another block of `log`."""
-    own = current.where(F.col("bid") == bid)
+    bids = [bids] if isinstance(bids, str) else bids
+    own = current.where(F.col("bid").isin(bids))
     if log is not None:
-        older = log.where(F.col("bid") != bid).select("id").distinct().withColumn("_older", F.lit(True))
+        older = log.where(~F.col("bid").isin(bids)).select("id").distinct().withColumn("_older", F.lit(True))
         own = own.join(older, "id", "left").where("_oid <> 2 or _older").drop("_older")
     return own.withColumn("line_no", F.row_number().over(Window.partitionBy("bid").orderBy("_seq")).cast("long"))

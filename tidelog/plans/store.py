@@ -260,10 +260,10 @@ class Store:
             return []
         self._maintained = now
         self._roll()
-        done = []
-        for r in self.candidates().where("not locked").orderBy("bid").select("bid").collect():  # names of blocks
-            self.compact(r["bid"])
-            done.append(r["bid"])
+        found = [r["bid"] for r in self.candidates().where("not locked").orderBy("bid").select("bid").collect()]  # names of blocks
+        done = [bid for bid in found if self.storage.lock(bid)]
+        if done:
+            self._compact(done)
         return done
 
     def compact(self, bid: str) -> None:
@@ -276,19 +276,25 @@ class Store:
             raise KeyError("Block not found")
         if bid in self._locked or not self.storage.lock(bid):
             raise RuntimeError("Block is already locked")
-        self._locked.add(bid)
+        self._compact([bid])
+
+    def _compact(self, bids: list[str]) -> None:
+        """Compacts blocks that this store has locked, together, and frees them."""
+        self._locked |= set(bids)
         try:
-            # the log without what single calls have written since: it has no line that is missing there
             log = self.storage.load(self.storage.blocks()) if self._changes else self.log
-            kept = blocks.compact(self._rows(), bid, log)
-            first = int(kept.agg(F.coalesce(F.min("_seq"), F.lit(0))).first()[0])
-            made = self.storage.append(kept, first, 1, tag=f"c{self.seq}-{int(time.time() * 1000)}-")
-            self.storage.commit(made, [bid])
-            self.storage.rename(bid, f"{bid}.old")
+            kept = blocks.compact(self._rows(), bids, log).persist()
+            size = kept.agg(F.coalesce(F.min("_seq"), F.lit(0)).alias("first"), F.coalesce(F.sum(F.octet_length("record") + 1), F.lit(0)).alias("bytes")).first()
+            made = self.storage.append(kept, int(size["first"]), max(1, math.ceil(size["bytes"] / self.options.max_block_size)), tag=f"c{self.seq}-{int(time.time() * 1000)}-")
+            kept.unpersist()
+            self.storage.commit(made, bids)
+            for bid in bids:
+                self.storage.rename(bid, f"{bid}.old")
             self._load()
         finally:
-            self._locked.discard(bid)
-            self.storage.unlock(bid)
+            self._locked -= set(bids)
+            for bid in bids:
+                self.storage.unlock(bid)
 
     def unlock(self, bid: str) -> None:
         """Frees a block that a crashed compaction has left locked."""
