@@ -42,8 +42,8 @@ def is_bad(piece: str) -> bool:
     return piece in ("", "\n") or piece[-1].isspace() or piece[piece[0] == "\n"].isspace()
 
 
-#: Bytes that an entry of a cache takes beside its characters and ids.
-ENTRY = 160
+#: Pieces that are kept in each cache.
+KEPT = 1_000_000
 
 
 def cuts_hold(tok: Tokenizer) -> bool:
@@ -58,11 +58,11 @@ def cuts_hold(tok: Tokenizer) -> bool:
 class Bpe:
     """Piece caches over one tokenizer file.
 
-    `limit` bounds the bytes of each cache, about; a full one keeps its short pieces, or starts
-    anew from `base`, the first tier that it was given.  Pieces are only known to stand
+    `limit` bounds the pieces of each cache, of about 200 bytes each; a full one keeps its short
+    pieces, or starts anew from `base`, the first tier that it was given.  Pieces are only known to stand
     alone under the byte-level pattern without a normaliser; texts go to any other tokenizer whole."""
 
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = KEPT):
         self.tok = Tokenizer.from_file(path)
         self.cuts = cuts_hold(self.tok)
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
@@ -75,7 +75,6 @@ class Bpe:
         self.counts: dict[str, int | str] = {}
         self.base: dict[str, int] = {}
         self.odd: dict[str, bytes] = {}
-        self.held = {"ids": 0, "counts": 0, "odd": 0}  # bytes
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -110,30 +109,19 @@ class Bpe:
         """Ids of a text where white space runs: cut at its safe spaces only."""
         cut = SAFE.split(text)
         cut[1:] = [" " + p for p in cut[1:]]
-        new = set(cut) - self.odd.keys()
-        made = {p: np.array(self.encode_whole(p), np.uint32).tobytes() for p in new}
-        out = b"".join(made[p] if p in made else self.odd[p] for p in cut)
-        self._keep("odd", made)
+        for p in set(cut).difference(self.odd):
+            self.odd[p] = np.array(self.encode_whole(p), np.uint32).tobytes()
+        out = b"".join(map(self.odd.__getitem__, cut))
+        if len(self.odd) > self.limit:
+            self.odd.clear()
         return out
 
-    def _keep(self, name: str, made: dict) -> None:
-        """Puts new entries into a cache, after making room."""
+    def _room(self, name: str) -> None:
+        """Empties a cache but for its short pieces, or for the base."""
         store = getattr(self, name)
-
-        def size(entries: dict) -> int:
-            return sum(map(len, entries)) + sum(len(x) for x in entries.values() if isinstance(x, bytes)) + ENTRY * len(entries)
-
-        more = size(made)
-        if self.held[name] + more > self.limit:
-            kept = (self.base if name == "counts" else {}) or {k: v for k, v in store.items() if len(k) < 7}
-            store.clear()
-            self.held[name] = 0
-            if (own := size(kept)) + more <= self.limit:
-                store.update(kept)
-                self.held[name] = own
-        if self.held[name] + more <= self.limit:
-            store.update(made)
-            self.held[name] += more
+        kept = (self.base if name == "counts" else {}) or {k: v for k, v in store.items() if len(k) < 7}
+        store.clear()
+        store.update(kept if len(kept) <= self.limit // 2 else {})
 
     def _made(self, new: set[str], cache: dict, put: Callable) -> dict:
         """Cache entries of new pieces.  A full stop or comma after a Latin letter is a
@@ -160,7 +148,9 @@ class Bpe:
             for c, f, g in zip(cut, found, gaps, strict=True):
                 for i in g:
                     f[i] = made[c[i]]
-            self._keep(name, made)
+            if len(cache) + len(made) > self.limit:
+                self._room(name)
+            cache.update(made if len(cache) + len(made) <= self.limit else {})
         out = []
         for t, ok, f in zip(texts, plain, found, strict=True):
             try:
@@ -179,16 +169,16 @@ class Bpe:
         return self._all(texts, "counts", lambda made: {p: x if x is BAD else len(x) // 4 for p, x in made.items()}, lambda f: sum(f) - self.newline, lambda raw: len(raw) // 4)
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
+_LOADED: dict[tuple[str, str, int], Bpe] = {}
 cache(_LOADED.clear)
 
 
-def loaded(path: str, tier: str = "") -> Bpe:
+def loaded(path: str, tier: str = "", limit: int = KEPT) -> Bpe:
     """A worker's encoder for a tokenizer file and base tier; it keeps one."""
     claim("bpe")
-    key = (path, tier)
+    key = (path, tier, limit)
     if key not in _LOADED:
         _LOADED.clear()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _LOADED[key] = Bpe(path)
+        _LOADED[key] = Bpe(path, limit)
     return _LOADED[key]

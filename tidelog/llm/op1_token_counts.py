@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 encoder = bpe.loaded(path, name)
                 if not encoder.base:
                     encoder.base = read_length_table(tier.value)
-                    encoder._keep("counts", encoder.base)
+                    encoder.counts.update(encoder.base)
             texts = b.column(1)
             n = np.array(encoder.n_tokens([t or "" for t in texts.to_pylist()]), np.int64)
             size = np.array([0 if x is None else len(x) for x in texts.cast(pa.binary()).to_pylist()], np.int64)

@@ -69,13 +69,14 @@ def curve_keys(documents: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     return hilbert(np.clip((y + 1) / 2, 0, 1 - 2.0**-BITS) * (1 << BITS), BITS)
 
 
-def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached: int = bpe.KEPT) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with `with_ids` the piece's ids (array<long>).
 
     A document is the ids of its text (null: empty) and `end_id`.  Each id lies in one
     piece; sequences are full but for the last one.  Repeated rows are documents of
-    their own, other columns are ignored, and an empty table gives no pieces.
+    their own, other columns are ignored, and an empty table gives no pieces.  `cached`: pieces
+    of text whose ids a worker keeps.
     """
     vocabulary = tokenizer or bpe.default_path()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -83,7 +84,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
     width = "<u2" if max(bpe.loaded(vocabulary).tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, matrix, n = bpe.loaded(vocabulary), projection(), 0
+        encoder, matrix, n = bpe.loaded(vocabulary, limit=cached), projection(), 0
         end = np.array([end_id], "<u4").tobytes()
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:

@@ -120,7 +120,7 @@ class Model:
         if not self.langs:
             return [("und", 0.0, {}, 0.0 if any(map(letters, (t or "").split())) else None) for t in texts]
         tokens = [t.split() if t else [] for t in texts]
-        new = list(set(chain.from_iterable(tokens)) - self.words.keys())
+        new = list(set(chain.from_iterable(tokens)).difference(self.words))
         if len(self.words) + len(new) > CACHED:
             self.words.clear()
             self.used = 0
