@@ -87,8 +87,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
-    return pack_sequences(docs, capacity=1024, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    """Pieces of documents in sequences of at most 1024 tokens.  Workers keep fewer pieces' ids than
+    elsewhere, as executors have come through four stages by then."""
+    return pack_sequences(docs, capacity=1024, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, cached=300_000)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_text", repeated_text), ("benchmark_leaks", benchmark_leaks), ("sequences", sequences)]
