@@ -9,6 +9,7 @@ Texts that hold the string of a special token go to the library whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -43,7 +44,7 @@ def is_bad(piece: str) -> bool:
 
 
 #: Pieces that are kept in each cache.
-KEPT = 1_000_000
+KEPT = 2_000_000
 
 
 def cuts_hold(tok: Tokenizer) -> bool:
@@ -87,7 +88,9 @@ class Bpe:
         out: dict[str, bytes | str] = {}
         spaced, lined = [], []
         for p in new:
-            if is_bad(p):
+            if p and p.isprintable():  # no white space but for inner spaces, of which pieces have none
+                spaced.append(p)
+            elif is_bad(p):
                 out[p] = BAD
             elif p[0] == "\n":
                 lined.append(p)
@@ -136,7 +139,13 @@ class Bpe:
         return made
 
     def _all(self, texts: list[str], name: str, put: Callable, join: Callable, else_: Callable) -> list:
-        cache = getattr(self, name)
+        gc.disable()  # lists of millions of texts, and no cycles: collections would only walk them
+        try:
+            return self._looked_up(texts, getattr(self, name), name, put, join, else_)
+        finally:
+            gc.enable()
+
+    def _looked_up(self, texts: list[str], cache: dict, name: str, put: Callable, join: Callable, else_: Callable) -> list:
         plain = [bool(t) and self.cuts and not any(s in t for s in self.special) for t in texts]
         cut = [pieces(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         get = cache.get
