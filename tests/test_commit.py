@@ -272,6 +272,30 @@ def test_compound_lower_bound(spark):
         sorted_index.lower_bound_compound(index, ["a", "b"], index, ["a"])
 
 
+def test_compound_lower_bound_by_ranges(spark, monkeypatch, tmp_path):
+    """Ranges follow the number of keys and probes, not the session's partitions; keys and probes that
+    come again count once, also across batches."""
+    import random
+
+    rng = random.Random(3)
+    keys = [(rng.choice([None, *range(-4, 5)]), rng.choice([None, *range(-40, 40)])) for _ in range(3000)]
+    probes = [(rng.choice([None, *range(-6, 7)]), rng.randrange(-50, 50)) for _ in range(2000)]
+    monkeypatch.setattr(sorted_index, "SORTED_ROWS", 100)
+    monkeypatch.setattr(sorted_index, "shared_place", lambda spark: f"file://{tmp_path}")
+    held = sorted({*keys}, key=lambda k: [(x is not None, x or 0) for x in k])
+    below = {p: sum([(x is not None, x or 0) for x in k] < [(True, x) for x in p] for k in held) for p in probes if p[0] is not None}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(keys, "a int, b long")
+        got = sorted_index.lower_bound_compound(df, ["a", "b"], spark.createDataFrame(probes, "x long, y int"), ["x", "y"], stride=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == sorted((*p, 3 * n, p in held) for p, n in below.items())
+    made = spark.read.parquet(f"file://{tmp_path}/bounds-*")
+    assert made.select("_range").distinct().count() > 25
+
+
 def test_cells(spark):
     c = F.col("c")
     df = spark.createDataFrame([([5, 6, 7],), ([],)], "c array<long>")

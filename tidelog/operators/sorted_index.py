@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.merge import best
 from tidelog.operators.prefix import running_sums
+from tidelog.sources.storage import shared_place
+
+#: Keys and probes that one task of lower_bound_compound sorts, about; 50 bytes each.
+SORTED_ROWS = 1 << 22
 
 
 def uint32(n: Column) -> Column:
@@ -67,23 +79,57 @@ def lower_bound(index: DataFrame, key: str, probes: DataFrame, probe: str, strid
 
 def lower_bound_compound(index: DataFrame, keys: list[str], probes: DataFrame, wanted: list[str], stride: int | None = None) -> DataFrame:
     """lower_bound for keys of several parts, in lexicographic order; `stride` is the number of
-    a row's cells, the keys' unless given.
+    a row's cells, the keys' unless given.  A key or probe that comes again counts once; a key with
+    nulls lies below those without, and a probe with nulls has no row.
 
-    Below a probe are the rows that are less in the first part, those that are alike there and
-    less in the second, and so on: running sums over one part, inside groups of the parts before."""
+    Keys and probes are dealt together by ranges, as many as their number asks for whatever the
+    session's settings, and each range is counted in one pass in order.  The ranges' rows lie below the
+    shared folder, as dealing them again would cut them elsewhere; only the ranges' totals are summed."""
     if len(wanted) < len(keys):
         raise ValueError("Invalid key length")
-    parts = [f"k{i}" for i in range(len(keys))]
-    asked = probes.select(*(F.col(c).cast("long").alias(k) for c, k in zip(wanted, parts, strict=False))).distinct()
-    held = index.select(*(F.col(c).cast("long").alias(k) for c, k in zip(keys, parts, strict=True)), F.lit(1).alias("_key"))
-    points = held.unionByName(asked.withColumn("_key", F.lit(0)))
-    out = asked.withColumn("_below", F.lit(0).cast("long"))
-    for i, part in enumerate(parts):
-        one = points.groupBy(*parts[: i + 1]).agg(F.sum("_key").alias("_here"))
-        counted = running_sums(one, part, {"_up_to": F.col("_here")}, within=parts[:i])
-        out = out.join(counted, parts[: i + 1]).withColumn("_below", F.col("_below") + F.col("_up_to") - F.col("_here"))
-        out = out.withColumn("found", F.col("_here") > 0).drop("_here", "_up_to") if part == parts[-1] else out.drop("_here", "_up_to")
-    return out.select(*(F.col(k).alias(c) for c, k in zip(wanted, parts, strict=False)), (F.col("_below") * (stride or len(keys))).cast("long").alias("offset"), "found")
+    spark, parts = index.sparkSession, [f"k{i}" for i in range(len(keys))]
+    held = index.select(*(F.col(c).cast("long").alias(k) for c, k in zip(keys, parts, strict=True)), F.lit(1).cast("tinyint").alias("_key"))
+    asked = probes.select(*(F.col(c).cast("long").alias(k) for c, k in zip(wanted, parts, strict=False)), F.lit(0).cast("tinyint").alias("_key")).dropna()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((index.count() + probes.count()) / SORTED_ROWS))
+    order = [*parts, F.col("_key").desc()]  # a point's keys come before its probes
+    at = f"{shared_place(spark)}/bounds-{uuid.uuid4().hex}"
+    schema = ", ".join(f"{k} long" for k in parts) + ", _range int, _below long, found boolean"
+    held.unionByName(asked).repartitionByRange(n, *parts).sortWithinPartitions(*order).mapInArrow(_bounds, schema).write.parquet(at)
+    rows = spark.read.schema(schema).parquet(at)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.where("found is null").select("_range", F.coalesce(F.sum("_below").over(before), F.lit(0)).alias("_before"))  # n rows
+    out = rows.where("found is not null").join(F.broadcast(totals), "_range")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(wanted, parts, strict=False)), ((F.col("_below") + F.col("_before")) * (stride or len(keys))).cast("long").alias("offset"), "found")
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range's keys (_key 1) and probes (0) in order, each probe with the range's keys below it
+    and whether it is one; at the end, with `found` null, the number of the range's keys."""
+    place, below, last, there = TaskContext.get().partitionId(), 0, None, 0
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        *parts, key = b.columns
+        sides = [x for c in parts for x in (pc.fill_null(c, 0).to_numpy(), c.is_null().to_numpy(zero_copy_only=False))]
+        key = key.to_numpy()
+        point = np.zeros(n, bool)  # is it another point than the row before?
+        for x in sides:
+            point[1:] |= x[1:] != x[:-1]
+        point[0] = last is None or last[:-1] != [x[0] for x in sides]
+        fresh = point.copy()
+        fresh[1:] |= key[1:] != key[:-1]
+        fresh[0] |= last is not None and last[-1] != key[0]
+        upto = below + np.cumsum(point & (key == 1))
+        start = np.maximum.accumulate(np.where(point, np.arange(n), -1))
+        own = np.where(start >= 0, key[start], there)
+        below, last, there = int(upto[-1]), [*(x[-1] for x in sides), key[-1]], own[-1]
+        out = np.flatnonzero(fresh & (key == 0))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(out)) for c in parts), pa.array(np.full(len(out), place, np.int32)), pa.array((upto - own)[out]), pa.array(own[out] == 1)], names=[*b.schema.names[:-1], "_range", "_below", "found"])
+    if last is not None:
+        none = [pa.nulls(1, pa.int64()) for _ in range((len(last) - 1) // 2)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([place], pa.int32()), pa.array([below], pa.int64()), pa.array([None], pa.bool_())], names=[*(f"k{i}" for i in range(len(none))), "_range", "_below", "found"])
 
 
 def rows_of(cells: Column, keys: int, values: int) -> Column:

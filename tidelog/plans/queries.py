@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from tidelog.functions.text import base36, project_fields, split_part, tombstone
 from tidelog.model import DELETE, OPS_SCHEMA, SET
 from tidelog.operators import bitset, blocks, merge, oplog, sorted_index
 from tidelog.sources.blocks import number_lines, parse_lines
+from tidelog.sources.storage import shared_place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,14 +23,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if they are one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (named or "file://" + tempfile.mkdtemp(prefix="tidelog-")).rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -218,7 +210,7 @@ def _store(spark, sf_dir, name, **options):
     """A store in the shared folder that events have been applied to in two batches, opened again."""
     from tidelog.plans.store import open_store
 
-    at = f"{_shared(spark)}/store-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_place(spark)}/store-{name}-{uuid.uuid4().hex}"
     db = open_store(spark, dir_path=at, max_block_size=64 * 1024, **options)
     rows = ops(spark, sf_dir).select(*(c.split()[0] for c in OPS_SCHEMA.split(", ")))
     half = rows.agg((F.max("ord") / 2).cast("long")).first()[0]
@@ -434,8 +426,7 @@ def compound_lower_bound(spark, sf_dir):
     """Rows of three cells; probes are the lines' order keys with the numbers of the lines after them."""
     rows = table(spark, sf_dir, "lineitem")
     probes = rows.select("l_orderkey", (F.col("l_linenumber") + 1).cast("long").alias("line"))
-    index = rows.select("l_orderkey", "l_linenumber").distinct()
-    return sorted_index.lower_bound_compound(index, ["l_orderkey", "l_linenumber"], probes, ["l_orderkey", "line"], stride=3)
+    return sorted_index.lower_bound_compound(rows, ["l_orderkey", "l_linenumber"], probes, ["l_orderkey", "line"], stride=3)
 
 
 def _cells(spark, sf_dir):
@@ -500,7 +491,7 @@ def stream_latest(spark, sf_dir):
     """kv_live, followed as a stream."""
     from tidelog.streaming.changes import follow, state
 
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_place(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     changes = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(
         F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") == "error", DELETE).otherwise(SET).alias("_oid"), F.col("event_id").alias("_seq"), F.col("props").alias("record")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,14 @@ OWN = re.compile(r"b\d{18}-.*")
 MANIFEST = re.compile(r"manifest-(\d{20})\.json")
 
 
+def shared_place(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only if they are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="tidelog-")).rstrip("/")
+
+
 class Conflict(RuntimeError):
     """Another writer has committed meanwhile."""
 
