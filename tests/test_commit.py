@@ -1,6 +1,7 @@
 """Commits, crashes, locks, maintenance, error rows and other storages."""
 
 import json
+import re
 import time
 
 import pytest
@@ -296,6 +297,66 @@ def test_compound_lower_bound_by_ranges(spark, monkeypatch, tmp_path):
     assert made.select("_range").distinct().count() > 25
 
 
+def test_small_blocks_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small blocks are written by few tasks and read by few, from one listing; blocks that don't
+    count, and those of other batches, are left out."""
+    at = url(tmp_path / "db")
+    db = open_store(spark, dir_path=at, max_block_size=1024)
+    ops = [(n, f"k{n % 4000}", 2 if n % 7 == 3 else 1, json.dumps({"n": n, "é": "x" * (n % 50)})) for n in range(6000)]
+    started = []
+    held = DirectoryStorage.append
+
+    def append(*a, **k):
+        out = held(*a, **k)
+        started.append(spark.sparkContext.statusTracker().getJobIdsForGroup("append"))
+        return out
+
+    monkeypatch.setattr(DirectoryStorage, "append", append)
+    spark.sparkContext.setJobGroup("append", "append")
+    try:
+        names = db.apply(spark.createDataFrame(ops, "ord long, id string, op int, record string"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(names) > 300 and names == sorted(names) == db.storage.blocks()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in started[0] for s in tracker.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100
+    seqs = [[r["_seq"] for r in files.load(spark, at, [n]).orderBy("line_no").collect()] for n in names[::40]]
+    assert all(s == list(range(s[0], s[0] + len(s))) for s in seqs) and all(a[-1] < b[0] for a, b in zip(seqs, seqs[1:]))
+    (tmp_path / "db" / f"{names[5]}x.block").write_text("not a record\n")  # between the batch's blocks, never committed
+    sizes = {p.name: p.stat().st_size for p in (tmp_path / "db").iterdir() if p.name in names}
+    assert {r["bid"]: r["size"] for r in db.blocks().collect()} == sizes and max(sizes.values()) < 2048
+    some = files.load(spark, at, names[:200])
+    assert some.select("bid").distinct().count() == 200 and some.rdd.getNumPartitions() <= 8
+    want = content(db)
+    db.apply([(n, f"m{n}", 1, "{}") for n in range(500)])
+    again = open_store(spark, dir_path=at, max_block_size=1024)
+    got = content(again)
+    assert {k: v for k, v in got.items() if k[0] == "k"} == want and len(got) == len(want) + 500
+    assert (again.seq, again.rid) == (db.seq, db.rid)
+
+
+def test_listing_of_other_forms(spark, tmp_path, monkeypatch):
+    """What a file system prints is only used where it can be read."""
+    for n, size in (("b.block", 3), ("a; isDirectory=true; x.block", 5), ("c d%20.txt", 0)):
+        (tmp_path / n).write_text("x" * size)
+    (tmp_path / "dir.block").mkdir()
+    at = url(tmp_path)
+    want = [("a; isDirectory=true; x.block", 5), ("b.block", 3), ("c d%20.txt", 0)]
+    assert sorted(files.listed(spark, at)) == want
+    monkeypatch.setattr(files, "STATUS", re.compile("-"))
+    assert sorted(files.listed(spark, at)) == want and files.listed(spark, f"{at}/dir.block") == []
+
+
+def test_opening_counts_buried_lines(spark, tmp_path):
+    """The highest numbers are those of all lines, whichever counts."""
+    (tmp_path / "db").mkdir()
+    line = '{{"id":"x","_oid":1,"_rid":{},"_seq":{}}}\n'
+    (tmp_path / "db" / "a.block").write_text(line.format(7, 90) + line.format(3, 4), newline="")
+    db = open_store(spark, dir_path=url(tmp_path / "db"))
+    assert (db.seq, db.rid) == (90, 7) and db.get("x")["_seq"] == 4
+
+
 def test_cells(spark):
     c = F.col("c")
     df = spark.createDataFrame([([5, 6, 7],), ([],)], "c array<long>")

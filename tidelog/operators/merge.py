@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 from tidelog.model import DELETE
 
 
-def best(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """For each key the row of the greatest `order`, as a partial and a final aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"))
-    return picked.select(*(F.col(c) if c in keys else F.col(f"_best.{c}") for c in df.columns))
+def best(df: DataFrame, keys: list[str], order: Column, tops: list[str] | None = None) -> DataFrame:
+    """For each key the row of the greatest `order`, as a partial and a final aggregation; of the
+    columns `tops` the greatest value among the key's rows."""
+    tops = tops or []
+    rest = [c for c in df.columns if c not in keys and c not in tops]
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"), *(F.max(c).alias(c) for c in tops))
+    return picked.select(*(F.col(c) if c in keys or c in tops else F.col(f"_best.{c}") for c in df.columns))
 
 
-def last_lines(log: DataFrame) -> DataFrame:
+def last_lines(log: DataFrame, tops: list[str] | None = None) -> DataFrame:
     """Within a block the last line of a key wins, whatever its _seq."""
-    return best(log, ["bid", "id"], F.col("line_no"))
+    return best(log, ["bid", "id"], F.col("line_no"), tops)
 
 
-def merge_blocks(lines: DataFrame) -> DataFrame:
+def merge_blocks(lines: DataFrame, tops: list[str] | None = None) -> DataFrame:
     """Across blocks the highest _seq of a key wins; of equal ones, the later block's (blocks
     are listed by bid)."""
-    return best(lines, ["id"], F.struct("_seq", "bid"))
+    return best(lines, ["id"], F.struct("_seq", "bid"), tops)
 
 
-def current(log: DataFrame) -> DataFrame:
+def current(log: DataFrame, tops: list[str] | None = None) -> DataFrame:
     """One row for each key, tombstones included."""
-    return merge_blocks(last_lines(log))
+    return merge_blocks(last_lines(log, tops), tops)
 
 
 def live(rows: DataFrame) -> DataFrame:

@@ -34,8 +34,10 @@ def stamped_text(record: str, id_: str, seq: int, rid: int) -> str:
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets get their texts; deletions have theirs."""
     for b in batches:
-        yield b[["id", "_seq", "_rid"]].assign(record=[stamped_text(r, i, s, k) for r, i, s, k in zip(b["record"], b["id"], b["_seq"], b["_rid"], strict=True)])
+        columns = (b[c] for c in ("record", "id", "_seq", "_rid", "_oid"))
+        yield b.assign(record=[r if o == DELETE else stamped_text(r, i, s, k) for r, i, s, k, o in zip(*columns, strict=True)])
 
 
 class Store:
@@ -72,10 +74,11 @@ class Store:
         else:
             self.errors = self.spark.createDataFrame([], "bid string, line_no long, line string, error string")
             self.log = self.storage.load(names)
-        self._view(merge.current(self.log), fresh=True)
-        row = self.log.agg(F.max("_seq"), F.max("_rid")).first()
-        self.seq, self.rid = (int(x or 0) for x in row)
-        self._size = self._base.count()  # a bad line fails the opening
+        tops = {"_top_seq": F.col("_seq"), "_top_rid": F.col("_rid")}  # of all lines, so that they are read once
+        self._view(merge.current(self.log.withColumns(tops), list(tops)), fresh=True)
+        row = self._base.agg(*(F.max(c) for c in tops), F.count("*")).first()  # a bad line fails the opening
+        self.seq, self.rid, self._size = (int(x or 0) for x in row)
+        self._base = self._base.drop(*tops)
 
     def _view(self, base: DataFrame, fresh: bool = False) -> None:
         """A new view; with `fresh` it rests on the log alone."""
@@ -213,10 +216,11 @@ class Store:
         ops = ops.withColumn("id", checked)
         rows = self._rows()
         known = rows if self.options.reload_rule else merge.live(rows)
-        stamped = oplog.stamp(ops, known, self.seq, self.rid)
-        sets = stamped.where(F.col("op") == SET).select("id", "record", "_seq", "_rid").mapInPandas(_texts, "id string, _seq long, _rid long, record string")
-        gone = oplog.deletes(stamped).select("id", "_seq", "_rid", tombstone(F.col("id"), F.col("_rid"), F.col("_seq")).alias("record"))
-        lines = sets.withColumn("_oid", F.lit(SET)).unionByName(gone.withColumn("_oid", F.lit(DELETE))).persist()
+        marked: list[DataFrame] = []
+        stamped = oplog.stamp(ops, known, self.seq, self.rid, marked)
+        gone = tombstone(F.col("id"), F.col("_rid"), F.col("_seq"))
+        done = stamped.where(F.col("op").isin(SET, DELETE)).withColumn("record", F.when(F.col("op") == DELETE, gone).otherwise(F.col("record")))
+        lines = done.select("id", "_seq", "_rid", "record", F.col("op").alias("_oid")).mapInPandas(_texts, "id string, _seq long, _rid long, record string, _oid int").persist()
         try:
             size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("record") + 1).alias("bytes"), F.max("_seq").alias("seq"), F.max("_rid").alias("rid")).first()
             if not size["n"]:
@@ -225,7 +229,8 @@ class Store:
             self.storage.commit(names)
             self._add(names)
         finally:
-            lines.unpersist()
+            for df in (lines, *marked):
+                df.unpersist()
         self.seq, self.rid = max(self.seq, size["seq"]), max(self.rid, size["rid"])
         return names
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,15 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import with_error
 from tidelog.model import EXTENSION, LOG_SCHEMA
 
+#: Bytes of blocks that one task writes or reads, about, where blocks are smaller.
+TASK_BYTES = 16 << 20
+#: Most blocks that are named one by one to a reader.
+NAMED = 32
+#: A file's status as Hadoop prints it.
+STATUS = re.compile(r"\w+\{path=(.*); isDirectory=(true|false)(?:; length=(\d+))?;.*")
+#: A file of Spark's writer: its task, and its number in the task.
+PART = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.\w+)*")
+
 
 def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -18,6 +31,30 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, hadoop.Path
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and sizes of a directory's own files.  The JVM is asked once for all of them, and for
+    each apart only where what it prints is of another form."""
+    fs, at, _ = _fs(spark, path)
+    found = fs.listStatus(at)
+    n, jvm, gateway = len(found), spark.sparkContext._jvm, spark.sparkContext._gateway
+    objects = gateway.new_array(jvm.java.lang.Object, n)
+    jvm.java.lang.System.arraycopy(found, 0, objects, 0, n)
+    lines = jvm.org.apache.commons.lang3.StringUtils.join(objects, "\n").split("\n") if n else []
+    read = [STATUS.fullmatch(x) for x in lines]
+    if len(read) == n and all(m and (m[2] == "true" or m[3]) for m in read):
+        return [(m[1].rpartition("/")[2], int(m[3])) for m in read if m[2] == "false"]
+    return [(s.getPath().getName(), s.getLen()) for s in found if s.isFile()]
+
+
+def each(f: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
+    """f of each item, in order, several at once: calls of a file system mostly wait."""
+    items = list(items)
+    if len(items) < 2:
+        return [f(x) for x in items]
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(f, items))
+
+
 def ensure_dir(spark: SparkSession, path: str) -> None:
     fs, at, _ = _fs(spark, path)
     if not fs.exists(at):
@@ -36,8 +73,7 @@ def ensure_file(spark: SparkSession, path: str) -> None:
 
 def list_files(spark: SparkSession, path: str, extension: str = EXTENSION) -> list[str]:
     """Names of the directory's own files with the extension, in order."""
-    fs, at, _ = _fs(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isFile() and s.getPath().getName().endswith(extension))
+    return sorted(n for n, _ in listed(spark, path) if n.endswith(extension))
 
 
 def rename_block(spark: SparkSession, path: str, old: str, new: str) -> None:
@@ -53,10 +89,8 @@ def delete_block(spark: SparkSession, path: str, bid: str) -> None:
 
 def block_stats(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """bid and size in bytes of each block file (of `names` alone, if given), from one listing."""
-    fs, at, _ = _fs(spark, path)
     wanted = None if names is None else set(names)
-    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(at) if s.isFile()]
-    rows = sorted((n, size) for n, size in found if (n.endswith(EXTENSION) if wanted is None else n in wanted))
+    rows = sorted((n, size) for n, size in listed(spark, path) if (n.endswith(EXTENSION) if wanted is None else n in wanted))
     return spark.createDataFrame(rows, "bid string, size long")
 
 
@@ -82,7 +116,17 @@ def read_lines(spark: SparkSession, path: str, separator: str = "\n", extension:
     names = list_files(spark, path, extension) if names is None else names
     if not names:
         return spark.createDataFrame([], "bid string, line_no long, line string")
-    files = spark.read.text([f"{path}/{n}" for n in names], wholetext=True).select(F.col("_metadata.file_name").alias("bid"), "value")
+    bid = F.col("_metadata.file_name")
+    found, least, most = {}, min(names), max(names)
+    if len(names) > NAMED:
+        found = {n: size for n, size in listed(spark, path) if least <= n <= most and n.endswith(extension)}
+    others = sorted(found.keys() - set(names))
+    if len(names) <= NAMED or len(others) > NAMED or len(found) - len(others) < len(set(names)) or any(n[0] in "_." for n in names):
+        files = spark.read.text([f"{path}/{n}" for n in names], wholetext=True).select(bid.alias("bid"), "value")
+    else:  # the directory is listed once; its files are chosen by the ends of the names, and few by name
+        chosen = bid.between(least, most) & ~bid.isin(others) if others else bid.between(least, most)
+        files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}").where(chosen).select(bid.alias("bid"), "value")
+        files = files.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(sum(found.values()) / TASK_BYTES)))
     return number_lines(files, "value", separator, "bid")
 
 
@@ -111,17 +155,27 @@ def append(records: DataFrame, path: str, first: int, files: int = 1, tag: str =
     """Writes rows (_seq, record) as new block files in _seq order; returns their names.
 
     Each batch has files of its own, written aside and renamed when all are whole, so a
-    line that a crash has cut off is never continued."""
+    line that a crash has cut off is never continued.  Where blocks are small, a task writes several."""
     spark = records.sparkSession
     aside = f"{path}/_writing-{uuid.uuid4().hex}"
-    ordered = records.select("_seq", "record")
-    ordered = ordered.repartitionByRange(files, "_seq") if files > 1 else ordered.coalesce(1)
-    ordered.sortWithinPartitions("_seq").select("record").write.text(aside, lineSep="\n")
+    ordered, rows = records.select("_seq", "record"), 0
+    tasks = min(files, spark.sparkContext.defaultParallelism)
+    if tasks < files:
+        found = ordered.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("record") + 1), F.lit(0)).alias("bytes")).first()
+        tasks, rows = min(files, max(tasks, math.ceil(found["bytes"] / TASK_BYTES))), found["n"]
+    ordered = ordered.repartitionByRange(tasks, "_seq") if tasks > 1 else ordered.coalesce(1)
+    most = math.ceil(rows / files) if tasks < files else 0  # 0: a task's rows are one file
+    ordered.sortWithinPartitions("_seq").select("record").write.option("maxRecordsPerFile", most).text(aside, lineSep="\n")
     fs, at, make = _fs(spark, aside)
-    parts = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-") and s.getLen())
+    found = [(m, n) for n, size in listed(spark, aside) if size and (m := PART.fullmatch(n))]
+    parts = [n for *_, n in sorted((int(m[1]), int(m[2] or 0), n) for m, n in found)]
     names = [block_name(first, f"{tag}{i:05d}") for i in range(len(parts))]
-    for part, name in zip(parts, names, strict=True):
-        fs.rename(make(f"{aside}/{part}"), make(f"{path}/{name}"))
+
+    def move(pair: tuple[str, str]) -> None:
+        if not fs.rename(make(f"{aside}/{pair[0]}"), make(f"{path}/{pair[1]}")):
+            raise OSError(f"{aside}/{pair[0]} can't be renamed to {pair[1]}")
+
+    each(move, zip(parts, names, strict=True))
     fs.delete(at, True)
     return names
 

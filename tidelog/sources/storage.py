@@ -96,8 +96,7 @@ class DirectoryStorage:
 
     def _manifest(self) -> tuple[int, dict]:
         """Number and content of the newest whole manifest, and the highest number taken."""
-        fs, at, _ = files._fs(self.spark, self.path)
-        found = sorted((int(m[1]), m[0]) for s in fs.listStatus(at) if (m := MANIFEST.fullmatch(s.getPath().getName())))
+        found = sorted((int(m[1]), m[0]) for n, _ in files.listed(self.spark, self.path) if (m := MANIFEST.fullmatch(n)))
         for _, name in reversed(found):
             try:
                 return found[-1][0], json.loads(self._read(name))
