@@ -357,6 +357,26 @@ def test_opening_counts_buried_lines(spark, tmp_path):
     assert (db.seq, db.rid) == (90, 7) and db.get("x")["_seq"] == 4
 
 
+def test_many_blocks_compacted_together(spark, tmp_path, monkeypatch):
+    """More blocks than a filter names: tombstones stay only for keys with lines in other blocks, only
+    those are read for it, and the locks are gone."""
+    at = url(tmp_path / "db")
+    db = open_store(spark, dir_path=at, max_block_size=1024, stale_data_threshold=0.5)
+    kept = db.apply([(n, f"k{n}", 1, json.dumps({"n": n})) for n in range(15)])
+    pad = "x" * 40
+    db.apply([(n, f"m{n % 50}", 1, json.dumps({"n": n, "pad": pad})) for n in range(900)])
+    db.apply([(n, f"{'k' if n < 3 else 'm'}{n}", 2, "{}") for n in range(6)])
+    want, read, held = content(db), [], DirectoryStorage.load
+    monkeypatch.setattr(DirectoryStorage, "load", lambda self, names, strict=True: read.append(names) or held(self, names, strict))
+    done = db.maintain(1e9)
+    assert len(done) > blocks.NAMED and not set(done) & set(read[0])
+    assert not [p.name for p in (tmp_path / "db").iterdir() if p.name.endswith(".lock")]
+    assert content(db) == want and len(want) == 15 - 3 + 50 - 3
+    again = open_store(spark, dir_path=at)
+    assert content(again) == want and not again.has("k1") and not again.has("m4")
+    assert not set(done) & set(again.storage.blocks()) and set(kept) <= set(again.storage.blocks()) | set(done)
+
+
 def test_cells(spark):
     c = F.col("c")
     df = spark.createDataFrame([([5, 6, 7],), ([],)], "c array<long>")

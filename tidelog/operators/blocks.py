@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import utf8_length, utf16_length
 from tidelog.model import LARGEST_INTEGER
 
+#: Most blocks that a filter names.
+NAMED = 32
+
 
 def sequence_stats(rows: DataFrame, by: str | None = None) -> DataFrame:
     """Largest and smallest _seq and _rid; 0 and 2^53 - 1 of no rows.  By block if asked."""
@@ -117,8 +120,16 @@ def compact(current: DataFrame, bids: str | list[str], log: DataFrame | None = N
 
     A tombstone stays while an older version of its key lies in another block of `log`."""
     bids = [bids] if isinstance(bids, str) else bids
-    own = current.where(F.col("bid").isin(bids))
+
+    def of(rows: DataFrame, theirs: bool) -> DataFrame:
+        """Rows in these blocks, or in others; many names are joined."""
+        if len(bids) <= NAMED:
+            return rows.where(F.col("bid").isin(bids) if theirs else ~F.col("bid").isin(bids))
+        names = rows.sparkSession.createDataFrame([(b,) for b in bids], "bid string").distinct()
+        return rows.join(F.broadcast(names), "bid", "left_semi" if theirs else "left_anti").select(*rows.columns)
+
+    own = of(current, True)
     if log is not None:
-        older = log.where(~F.col("bid").isin(bids)).select("id").distinct().withColumn("_older", F.lit(True))
+        older = of(log, False).select("id").distinct().withColumn("_older", F.lit(True))
         own = own.join(older, "id", "left").where("_oid <> 2 or _older").drop("_older")
     return own.withColumn("line_no", F.row_number().over(Window.partitionBy("bid").orderBy("_seq")).cast("long"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import encode, project_fields, tombstone, with_value
 from tidelog.model import DELETE, LOG_SCHEMA, OPS_SCHEMA, SET, Options
 from tidelog.operators import blocks, merge, oplog
+from tidelog.sources.blocks import each
 from tidelog.sources.storage import DirectoryStorage, Storage
 
 #: Most keys that single calls hold on the driver; a larger store is asked by a query for each.
@@ -266,7 +267,7 @@ class Store:
         self._maintained = now
         self._roll()
         found = [r["bid"] for r in self.candidates().where("not locked").orderBy("bid").select("bid").collect()]  # names of blocks
-        done = [bid for bid in found if self.storage.lock(bid)]
+        done = [bid for bid, taken in zip(found, each(self.storage.lock, found), strict=True) if taken]
         if done:
             self._compact(done)
         return done
@@ -287,19 +288,21 @@ class Store:
         """Compacts blocks that this store has locked, together, and frees them."""
         self._locked |= set(bids)
         try:
-            log = self.storage.load(self.storage.blocks()) if self._changes else self.log
+            others = sorted(set(self.storage.blocks()) - set(bids))
+            if self.options.on_error:
+                log = self.storage.load(others, strict=False).where("error is null").drop("error")
+            else:
+                log = self.storage.load(others)
             kept = blocks.compact(self._rows(), bids, log).persist()
             size = kept.agg(F.coalesce(F.min("_seq"), F.lit(0)).alias("first"), F.coalesce(F.sum(F.octet_length("record") + 1), F.lit(0)).alias("bytes")).first()
             made = self.storage.append(kept, int(size["first"]), max(1, math.ceil(size["bytes"] / self.options.max_block_size)), tag=f"c{self.seq}-{int(time.time() * 1000)}-")
             kept.unpersist()
             self.storage.commit(made, bids)
-            for bid in bids:
-                self.storage.rename(bid, f"{bid}.old")
+            each(lambda bid: self.storage.rename(bid, f"{bid}.old"), bids)
             self._load()
         finally:
             self._locked -= set(bids)
-            for bid in bids:
-                self.storage.unlock(bid)
+            each(self.storage.unlock, bids)
 
     def unlock(self, bid: str) -> None:
         """Frees a block that a crashed compaction has left locked."""

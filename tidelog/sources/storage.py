@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,15 +140,24 @@ class DirectoryStorage:
         if version:  # the one before stays, for readers that have just listed it
             fs.delete(make(f"{self.path}/manifest-{version - 1:020d}.json"), False)
 
+    @cached_property
+    def _place(self) -> tuple:
+        """The file system and what makes its paths, found once."""
+        fs, _, make = files._fs(self.spark, self.path)
+        return fs, make
+
     def rename(self, old: str, new: str) -> None:
-        files.rename_block(self.spark, self.path, old, new)
+        fs, make = self._place
+        if not fs.rename(make(f"{self.path}/{old}"), make(f"{self.path}/{new}")):
+            raise OSError(f"{self.path}/{old} can't be renamed to {new}")
 
     def delete(self, bid: str) -> None:
         files.delete_block(self.spark, self.path, bid)
 
     def lock(self, bid: str) -> bool:
-        fs, _, make = files._fs(self.spark, self.path)
+        fs, make = self._place
         return bool(fs.createNewFile(make(f"{self.path}/{bid}.lock")))
 
     def unlock(self, bid: str) -> None:
-        files.delete_block(self.spark, self.path, f"{bid}.lock")
+        fs, make = self._place
+        fs.delete(make(f"{self.path}/{bid}.lock"), False)
